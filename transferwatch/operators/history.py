@@ -19,6 +19,7 @@ from transferwatch.operators.skew import (
     MAX_GROUP_ROWS,
     RANK,
     RUN,
+    hot_keys,
     join_same,
     ranked_runs,
     split_hot,
@@ -65,14 +66,17 @@ def side_features(
     label: str = LABEL,
     lookup: DataFrame | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    counted_on: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with the wanted features of one side.
 
     ``lookup`` may bring further columns per account: a table with the side's key and values.
+    ``counted_on`` is a cheaper frame of the same rows on which to look for hot accounts.
     """
     wanted = set(wanted)
     timed = df.withColumn(SECOND, epoch_seconds(TIME))
-    ordinary, hot = split_hot(timed, side.key, max_group_rows)
+    hot_accounts = hot_keys(df if counted_on is None else counted_on, side.key, max_group_rows)
+    ordinary, hot = split_hot(timed, side.key, hot_accounts)
     result = _ordinary(ordinary, side, wanted, label, lookup)
     if hot is not None:
         split = _hot(hot, side, wanted, label, lookup, max_group_rows)

@@ -49,10 +49,9 @@ def hot_keys(df: DataFrame, key: str, max_group_rows: int = MAX_GROUP_ROWS) -> D
 
 
 def split_hot(
-    df: DataFrame, key: str, max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, key: str, hot: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of hot keys (None when there are none)."""
-    hot = hot_keys(df, key, max_group_rows)
+    """Rows of ordinary keys, and rows of the keys in ``hot`` (None when there are none)."""
     if hot is None:
         return df, None
     hot = F.broadcast(hot.withColumnRenamed(key, "_hot"))
