@@ -27,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="transferwatch-checkpoint-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
