@@ -18,7 +18,7 @@ from transferwatch.operators.records import align, coerce_numeric, require_manif
 from transferwatch.plans import learning, pipeline
 from transferwatch.plans.features import RiskFeatures, RiskFeaturesModel
 from transferwatch.schema import AMOUNTS, ID, LABEL, RECEIVER, SENDER
-from transferwatch.session import ensure_checkpoint_dir, prepare
+from transferwatch.session import ensure_checkpoint_dir, materialise, prepare
 from transferwatch.sources import artefacts, fixtures
 from transferwatch.streaming import jobs
 from transferwatch.streaming.velocity import ROCKSDB, stream_velocity
@@ -292,14 +292,25 @@ def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(model.training_features(rows), model)
 
 
+_fitted: dict[tuple[str, str], tuple[RiskFeaturesModel, DataFrame]] = {}
+
+
 def _fitted_on_train(spark: SparkSession, sf_dir: str) -> tuple[RiskFeaturesModel, DataFrame]:
-    train, production = cleaning.clean_and_split(_tx(spark, sf_dir))
-    return RiskFeatures().fit(train), production
+    """Features fitted on the training part, and the production part, both written tables.
+
+    One per application and scale: the lookups of a fitted model are used many times.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _fitted:
+        train, production = cleaning.clean_and_split(_tx(spark, sf_dir))
+        _fitted[key] = RiskFeatures().fit(materialise(train)), materialise(production)
+    return _fitted[key]
 
 
 def lookup_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _fitted_on_train(spark, sf_dir)
-    return shown(model.lookups, "value", keys=["lookup", "key"])
+    train, _ = cleaning.clean_and_split(_tx(spark, sf_dir))
+    lookups = RiskFeatures().fit(materialise(train)).lookups
+    return shown(lookups, "value", keys=["lookup", "key"])
 
 
 def lookup_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
