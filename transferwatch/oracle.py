@@ -73,7 +73,7 @@ def total(side: str) -> str:
 
 
 def mean_label(key: str, name: str) -> str:
-    return f"round(avg(CAST(is_laundering AS DOUBLE)) OVER (PARTITION BY {key}), 8) AS {name}"
+    return f"avg(CAST(is_laundering AS DOUBLE)) OVER (PARTITION BY {key}) AS {name}"
 
 
 def unique_others(side: str) -> str:
@@ -84,7 +84,7 @@ def unique_others(side: str) -> str:
 def recency(side: str) -> str:
     window = f"(PARTITION BY {SIDES[side]} {ORDER})"
     gap = f"(epoch_us(ts) - lag(epoch_us(ts)) OVER {window}) / 1e6"
-    return f"round(coalesce({gap}, -1.0), 8) AS time_since_last_txn_{side}"
+    return f"coalesce({gap}, -1.0) AS time_since_last_txn_{side}"
 
 
 def last_rows(side: str, rows: int) -> str:
@@ -122,15 +122,15 @@ def velocity(side: str) -> str:
 
 def frequency(keys: str, name: str) -> str:
     share = f"CAST(count(*) OVER (PARTITION BY {keys}) AS DOUBLE) / count(*) OVER ()"
-    return f"round({share}, 8) AS {name}"
+    return f"{share} AS {name}"
 
 
 def amount_columns() -> list[str]:
     return [
         "round(ln(1 + amount_received), 6) AS log_amount_received",
         "round(ln(1 + amount_paid), 6) AS log_amount_paid",
-        "round(abs(amount_received - amount_paid), 6) AS amount_diff",
-        "round(amount_received / (amount_paid + 1), 8) AS amount_ratio",
+        "abs(amount_received - amount_paid) AS amount_diff",
+        "amount_received / (amount_paid + 1) AS amount_ratio",
     ]
 
 
@@ -239,7 +239,7 @@ def rate_joins() -> str:
 
 
 def learned_columns() -> list[str]:
-    columns = [f"round(coalesce({name}_table.r, 0), 8) AS {name}" for name in RATES]
+    columns = [f"coalesce({name}_table.r, 0) AS {name}" for name in RATES]
     for period in PERIODS:
         own = f"coalesce(fraud_rate_by_{period}_table.r, 0)"
         columns.append(
@@ -291,7 +291,7 @@ def frozen_counts() -> tuple[list[str], str, str]:
         )
         match = " AND ".join(f"{name}_table.{k} = p.{k}" for k in keys.split(", "))
         joins.append(f"LEFT JOIN {name}_table ON {match}")
-        outer.append(f"round(coalesce({name}_table.v, 0), 8) AS {name}")
+        outer.append(f"coalesce({name}_table.v, 0) AS {name}")
     for side, key in SIDES.items():
         unique, other = COUNTERPARTIES[side]
         tables.append(
@@ -402,14 +402,13 @@ WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR
 WINDOW_START = "CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start"
 REQUESTS = """CAST(count(*) AS BIGINT) AS total_requests,
   CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS error_count,
-  round(CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) * 100, 8)
-    AS error_rate_percent,
-  round(avg(value), 8) AS avg_duration, round(arg_max(value, ts), 8) AS last_duration"""
+  CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) * 100 AS error_rate_percent,
+  round(avg(value), 8) AS avg_duration, arg_max(value, ts) AS last_duration"""
 
 
 def fraud_rate_by(period: str) -> str:
     return (
-        f"WITH {TX}\nSELECT {period}, round(avg(CAST(is_laundering AS DOUBLE)), 8)"
+        f"WITH {TX}\nSELECT {period}, avg(CAST(is_laundering AS DOUBLE))"
         f" AS fraud_rate_by_{period}\nFROM t GROUP BY {period}"
     )
 
@@ -418,7 +417,7 @@ ORACLES: dict[str, str] = {
     "high_risk_hours": f"""
 WITH {TX},
 g AS (SELECT hour, avg(CAST(is_laundering AS DOUBLE)) AS r FROM t GROUP BY hour)
-SELECT hour, round(r, 8) AS fraud_rate_by_hour,
+SELECT hour, r AS fraud_rate_by_hour,
        round((SELECT avg(r) FROM g), 8) AS hour_thresh,
        CAST(r > (SELECT avg(r) FROM g) AS BIGINT) AS high_fraud_hour
 FROM g""",
@@ -429,7 +428,7 @@ SELECT count(*) AS n_rows, count(*) FILTER (quality IS NULL) AS n_missing FROM d
     "class_distribution": f"""
 WITH {DL}
 SELECT quality, count(*) AS n,
-       round(CAST(count(*) AS DOUBLE) / (SELECT count(quality) FROM dl), 8) AS share
+       CAST(count(*) AS DOUBLE) / (SELECT count(quality) FROM dl) AS share
 FROM dl WHERE quality IS NOT NULL GROUP BY quality""",
     "stratified_split": f"""
 WITH {TX},{split_cte('t', 0.25, 'is_laundering', 'txn_id', 'parted')}
@@ -493,7 +492,7 @@ FROM events""",
         [
             'CAST(0 AS DOUBLE) AS "payment_format_9-UNSEEN"',
             "CAST(hour AS DOUBLE) AS hour",
-            "round(amount_received / (amount_paid + 1), 8) AS amount_ratio",
+            "amount_received / (amount_paid + 1) AS amount_ratio",
         ]
     ),
     "lookup_export": lookup_export(),
@@ -511,7 +510,7 @@ FROM q""",
     "class_report": REPORT,
     "prediction_distribution": """
 SELECT event_type, count(*) AS n,
-       round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events), 8) AS share
+       CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events) AS share
 FROM events GROUP BY event_type""",
     "latency_last_1000": """
 SELECT count(*) AS n_recent, round(avg(value), 8) AS average_value

@@ -25,13 +25,15 @@ from transferwatch.streaming.velocity import ROCKSDB, stream_velocity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Digits to which features are compared; 8 where not named.
+# Digits to which doubles are compared where the order of additions or the math library may differ.
+# All others come from the same few operations on whole numbers or inputs and are compared as is.
 DIGITS = {
     **{f"log_{a}": 6 for a in AMOUNTS},
     **{f"rolling_std_{a}_{s.name}": 2 for a in AMOUNTS for s in (SENDER, RECEIVER)},
     **{f"rolling_avg_{a}_{s.name}": 7 for a in AMOUNTS for s in (SENDER, RECEIVER)},
     **{f"{a}_to_avg_{s.name}_ratio": 4 for a in AMOUNTS for s in (SENDER, RECEIVER)},
-    "amount_diff": 6,
+    **dict.fromkeys(("hour_thresh", "value", "avg_duration", "average_value", "average_latency"), 8),
+    **dict.fromkeys(("accuracy", "precision", "recall", "f1", "objective"), 8),
 }
 WHOLE = {
     f.format(s.name) for s in (SENDER, RECEIVER) for f in ("{}_total_txn", "txn_velocity_{}")
@@ -39,7 +41,7 @@ WHOLE = {
 
 
 def shown(df: DataFrame, *columns: str, keys: list[str] | None = None) -> DataFrame:
-    """The row id and some columns, doubles rounded and whole numbers as longs."""
+    """The row id and some columns, whole numbers as longs and doubles as ``DIGITS`` says."""
     return df.select(*(keys or [ID]), *[_shown(df, c) for c in columns])
 
 
@@ -48,8 +50,8 @@ def _shown(df: DataFrame, name: str) -> Column:
     column = F.col(f"`{name}`")
     if name in WHOLE or isinstance(kind, (T.IntegerType, T.LongType)):
         return column.cast("long").alias(name)
-    if isinstance(kind, T.DoubleType):
-        return F.round(column, DIGITS.get(name, 8)).alias(name)
+    if name in DIGITS:
+        return F.round(column, DIGITS[name]).alias(name)
     return column
 
 
