@@ -57,8 +57,6 @@ def main() -> None:
         .appName("transferwatch-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
-        # Rows of 70 columns make generated methods the JIT would otherwise leave interpreted.
-        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
