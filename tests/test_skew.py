@@ -21,8 +21,8 @@ def skewed(tx):
     chance = F.pmod(F.xxhash64("txn_id"), F.lit(12))
     busy = F.to_timestamp(F.lit("2022-09-05 12:00:00"))
     return (
-        tx.withColumn("account", F.when(chance >= 4, F.col("account")).when(chance >= 1, "HUB"))
-        .withColumn("ts", F.when(chance.between(1, 2), busy).otherwise(F.col("ts")))
+        tx.withColumn("account", F.when(chance >= 5, F.col("account")).when(chance >= 1, "HUB"))
+        .withColumn("ts", F.when(chance.between(1, 4), busy).otherwise(F.col("ts")))
         .withColumn("account_1", F.when(chance != 11, F.col("account_1")))
     )
 
