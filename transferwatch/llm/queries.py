@@ -12,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transferwatch.llm import quality
+from transferwatch.llm import langid, licenses, mixing, pieces, pii, quality, sharding
 from transferwatch.llm.tables import read
 from transferwatch.session import prepare
 
@@ -38,8 +38,44 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fit(docs, read(spark, sf_dir, "labels")).score(docs)
 
 
+def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"]).drop("ids")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return sharding.shard_plan(read(spark, sf_dir, "documents"))
+
+
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
+    "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
+    "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_pfair_mix": op7_pfair_mix,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from transferwatch.session import materialise
@@ -95,3 +96,44 @@ def gather(sums: DataFrame, sizes: dict[str, int], chunk: int = 4096) -> dict[st
         part = np.asarray(row["total"])
         out[row["name"]][row["piece"] * chunk : row["piece"] * chunk + len(part)] = part
     return out
+
+
+def gather_named(sums: DataFrame, size: int, chunk: int = 4096) -> dict[str, np.ndarray]:
+    """As ``gather``, for names found in the data; the caller has checked how many there are."""
+    out: dict[str, np.ndarray] = {}
+    for row in sums.toLocalIterator():
+        array = out.setdefault(row["name"], np.zeros(size))
+        part = np.asarray(row["total"])
+        array[row["piece"] * chunk : row["piece"] * chunk + len(part)] = part
+    return out
+
+
+def ranked(df: DataFrame, order: list[str], within: str | None = None, rank: str = "_rank") -> DataFrame:
+    """Add each row's rank from 0 in the whole order, or within each value of ``within``.
+
+    A range-partitioned sort spreads even one value's rows over many tasks. Its result is written
+    once, so that a repeated task cannot change places; the rank is a row's place in its partition
+    plus the rows of the partitions before, one number per partition and value.
+    """
+    keys = [within, *order] if within else order
+    placed = materialise(
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    group = [within] if within else []
+    pieces = placed.groupBy(*group, "_part").agg(
+        F.min("_place").alias("_first"), F.count("*").alias("_n")
+    )
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    pieces, size = written_and_counted(
+        pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    )
+    match = F.col("_part") == F.col("_piece")
+    if within:
+        pieces = pieces.withColumnRenamed(within, "_value")
+        match &= F.col(within).eqNullSafe(F.col("_value"))
+    joined = placed.join(small(pieces.withColumnRenamed("_part", "_piece"), size), match)
+    out = joined.withColumn(rank, F.col("_place") - F.col("_first") + F.col("_before"))
+    return out.select(*df.columns, rank)
