@@ -36,8 +36,8 @@ from transferwatch.llm.arrays import _BYTE_VALUES, _powers, chunks, mix
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 SCALE = 10_000
-# Text handled at once: more bytes share more words.
-UNIT_CHUNK = 24 << 20
+# Words a task remembers from one run of texts to the next.
+REMEMBERED = 400_000
 # Longer words are searched one by one.
 LONGEST_WORD = 48
 _BLOCK = 20_000
@@ -57,6 +57,12 @@ def running_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``begin .. begin + size - 1`` of every pair, one after the other."""
+    origin = np.repeat(begin - np.cumsum(size) + size, size)
+    return origin + np.arange(len(origin))
+
+
 @dataclass
 class Word:
     """The best segmentations of one word, best first: ids and loss against the best."""
@@ -87,6 +93,7 @@ class PieceModel:
         self._slots()
         self._text_table()
         self.words: dict[bytes, Word] = {}
+        self.memory = None
 
     @classmethod
     def load(cls, path: str = MODEL_PATH) -> PieceModel:
@@ -246,6 +253,35 @@ class PieceModel:
         offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
         return score, loss, ids[back], offsets
 
+    def _recall(self, data, hashes, starts, ends, times):
+        """As ``segment``, for words of known sorted hashes; repeated words are remembered."""
+        if self.memory is None or len(self.memory[0]) > REMEMBERED:
+            none = np.empty(0, np.int64)
+            self.memory = (np.empty(0, np.uint64), none, none, np.empty(0, np.int32), np.zeros(1, np.int64))
+        known, m_score, m_loss, m_ids, m_first = self.memory
+        at = np.searchsorted(known, hashes)
+        hit = np.zeros(len(hashes), dtype=bool)
+        if len(known):
+            hit = known[np.minimum(at, len(known) - 1)] == hashes
+        new = np.flatnonzero(~hit)
+        n_score, n_loss, n_ids, n_first = self.segment(data, starts[new], ends[new])
+        # All words, old ones first, then in the order of their hashes.
+        all_hashes = np.concatenate([known, hashes[new]])
+        score, loss = np.concatenate([m_score, n_score]), np.concatenate([m_loss, n_loss])
+        ids = np.concatenate([m_ids, n_ids])
+        begin = np.concatenate([m_first[:-1], n_first[:-1] + len(m_ids)])
+        size = np.concatenate([np.diff(m_first), np.diff(n_first)])
+        where = np.empty(len(hashes), dtype=np.int64)
+        where[hit] = at[hit]
+        where[new] = len(known) + np.arange(len(new))
+        keep = np.concatenate([np.ones(len(known), dtype=bool), times[new] > 1])
+        kept = np.flatnonzero(keep)
+        kept = kept[np.argsort(all_hashes[kept], kind="stable")]
+        first = np.concatenate([[0], np.cumsum(size[kept])])
+        self.memory = (all_hashes[kept], score[kept], loss[kept], ids[spans(begin[kept], size[kept])], first)
+        first = np.concatenate([[0], np.cumsum(size[where])])
+        return score[where], loss[where], ids[spans(begin[where], size[where])], first
+
     def _same_length(self, data, sums, down, starts, size):
         count = len(starts)
         rows = starts[:, None] + np.arange(size)
@@ -332,12 +368,13 @@ class PieceModel:
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         sums, down = running_sums(data)
         hashes = raw_hashes(sums, down, starts, ends)
-        _, sample, word = np.unique(hashes, return_index=True, return_inverse=True)
-        score, loss, ids, first = self.segment(data, starts[sample], ends[sample])
+        distinct, sample, word, times = np.unique(
+            hashes, return_index=True, return_inverse=True, return_counts=True
+        )
+        score, loss, ids, first = self._recall(data, distinct, starts[sample], ends[sample], times)
         text_first = np.searchsorted(starts, offsets)
         sizes = np.diff(first)[word]
-        origin = np.repeat(first[:-1][word] - np.cumsum(sizes) + sizes, sizes)
-        all_ids = ids[origin + np.arange(len(origin))] if len(origin) else ids[:0]
+        all_ids = ids[spans(first[:-1][word], sizes)]
         id_offsets = np.concatenate([[0], np.cumsum(sizes)])[text_first]
         word_score, word_loss = score[word], loss[word]
         totals = np.concatenate([[0], np.cumsum(word_score)])
@@ -401,8 +438,7 @@ class PieceModel:
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts' bytes and their offsets, without the word mark each starts with."""
         lengths = self.text_lengths[ids]
-        origin = np.repeat(self.text_starts[ids] - np.cumsum(lengths) + lengths, lengths)
-        data = self.text_bytes[origin + np.arange(len(origin))]
+        data = self.text_bytes[spans(self.text_starts[ids], lengths)]
         at = np.concatenate([[0], np.cumsum(lengths)])[offsets]
         filled = np.diff(at) > 0
         return np.delete(data, at[:-1][filled]), at - np.concatenate([[0], np.cumsum(filled)])
@@ -427,7 +463,7 @@ def encode(
     def run(batches):
         model = sent.value
         for batch in batches:
-            for rows, texts in chunks(batch, text, limit=UNIT_CHUNK):
+            for rows, texts in chunks(batch, text):
                 size = len(texts)
                 got = model.encode(texts.data, texts.offsets, n_best)
                 data, at = model.decode(got["ids"], got["offsets"])

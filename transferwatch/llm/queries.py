@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from transferwatch.llm import langid, licenses, mixing, pieces, pii, quality, sharding
+from transferwatch.llm import forest, jaccard, langid, licenses, lm, mixing, pieces, pii, quality, sharding
 from transferwatch.llm.tables import read
 from transferwatch.session import prepare
 
@@ -43,6 +44,11 @@ def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"]).drop("ids")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -63,6 +69,17 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return forest.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return pii.report(read(spark, sf_dir, "documents"))
@@ -71,10 +88,13 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_language_id": op4_language_id,
     "op5_license_scan": op5_license_scan,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_pfair_mix": op7_pfair_mix,
+    "op8_prefix_forest": op8_prefix_forest,
+    "op9_context_mixing": op9_context_mixing,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
