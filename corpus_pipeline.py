@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transferwatch.llm import quality
+from transferwatch.llm import jaccard, mixing, pieces, pii, quality
 from transferwatch.llm.queries import ready
 from transferwatch.llm.tables import read
 from transferwatch.session import materialise
@@ -20,8 +20,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.fit(docs, read(spark, sf_dir, "labels")).keep(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one of smallest id."""
+    ready(spark)
+    return jaccard.one_of_each(docs)
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced; ``n_chars`` follows."""
+    ready(spark)
+    return pii.protect(docs, length="n_chars")
+
+
+def pfair_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, their rows written in the order of the mixture."""
+    ready(spark)
+    return mixing.in_mixture_order(docs)
+
+
+def sentencepiece_nbest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the scores of its best segmentations."""
+    ready(spark)
+    return pieces.encode(docs, ["doc_id", "lang", "source"])
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("pii_pseudonyms", pii_pseudonyms),
+    ("pfair_mix", pfair_mix),
+    ("sentencepiece_nbest", sentencepiece_nbest),
 ]
 
 # Sketches, keyed permutations and lattices have no SQL; tests compare with brute force.
