@@ -40,10 +40,10 @@ _BYTE_VALUES = random_words(256, 1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+    if len(_POWERS.get("up", ())) <= n:
         inverse = pow(_MULTIPLIER, -1, 1 << 64)
         for name, factor in (("up", _MULTIPLIER), ("down", inverse)):
-            steps = np.full(max(n, CHUNK_BYTES), factor, dtype=_U)
+            steps = np.full(max(n, CHUNK_BYTES) + 1, factor, dtype=_U)
             steps[0] = 1
             _POWERS[name] = np.multiply.accumulate(steps)
     return _POWERS["up"][:n], _POWERS["down"]

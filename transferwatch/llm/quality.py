@@ -33,8 +33,11 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 # Trusted documents that the trusted multinomial is fitted on, those of smallest hashed id.
 MAX_TRUSTED = 20_000
+# Virtual n-grams per bucket that the corpora agree on: what rare buckets say counts little, so
+# documents whose words are rare are not judged by chance, however small the corpus is.
+PRIOR = 20
 # Mean log ratio, in nats per n-gram, below which a document goes.
-THRESHOLD = -0.1
+THRESHOLD = -0.08
 # Fixed values of the base rules.
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -177,8 +180,7 @@ def fit(
     """Count both multinomials: all of ``docs``, and those that ``labels`` give quality 1.
 
     The trusted one is fitted on at most ``max_trusted`` labelled documents, so the list of their
-    ids is bounded. Its counts are smoothed towards the raw corpus with one virtual n-gram per
-    bucket: a bucket never seen in trusted documents is judged by how many n-grams those have.
+    ids is bounded. Both get ``PRIOR`` virtual n-grams in every bucket, on the trusted corpus's scale.
     """
     ids = narrow(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null")
     ids = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
@@ -187,6 +189,5 @@ def fit(
     good = gather(count_ngrams(trusted), {"grams": BUCKETS})["grams"]
     if not good.any():
         return QualityRules(np.zeros(BUCKETS), threshold)
-    share = (raw + 1) / (raw.sum() + BUCKETS)
-    smooth = (good + BUCKETS * share) / (good.sum() + BUCKETS)
-    return QualityRules(np.log(smooth) - np.log(share), threshold)
+    expected = raw * (good.sum() / raw.sum())
+    return QualityRules(np.log((good + PRIOR) / (expected + PRIOR)), threshold)
