@@ -11,8 +11,8 @@ members if ``j / n`` is within the distance asked for: it is replicated to the c
 and to no others. Two linked sets always meet in the cell of the first shingle they share.
 
 *Regions.* Inside the cells that hold different sets, documents are pivots. Each round takes some
-sets of every cell as pivots and measures the other members against them, members already connected
-to the pivot excepted. With the distances to a cell's first pivot, the triangle inequality rules out
+sets of every cell as pivots and measures the other members against them: members already connected
+to the pivot excepted, and those whose windows share too few cells with the pivot's. With the distances to a cell's first pivot, the triangle inequality rules out
 pairs that lie too far apart. A pivot has then met all its cell and leaves it. Cells whose members
 have become connected are done; the others go on recursively with more pivots, until none is left.
 A group of thousands of near copies thus takes some pivots' distances, not all pairs.
@@ -222,7 +222,7 @@ def needed_sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, seed: in
 
     rows = docs.select("text").mapInArrow(run, "id long, shingles array<long>")
     found = rows.join(small(ids, n_ids), "id", "left_semi")
-    return found.groupBy("id").agg(F.any_value("shingles").alias("shingles")).withColumn("n", F.size("shingles"))
+    return found.groupBy("id").agg(F.any_value("shingles").alias("shingles"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,11 +279,47 @@ def shared_cells(entries: DataFrame) -> DataFrame:
     return entries.join(small(shared, n), "cell", "left_semi").distinct()
 
 
-def linked_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+class Sets:
+    """The sets that pairs ask for, read from the texts when they are first needed."""
+
+    def __init__(self, docs: DataFrame, size: int, seed: int):
+        self.docs, self.size, self.seed = docs, size, seed
+        self.table: DataFrame | None = None
+
+    def holding(self, pairs: DataFrame) -> DataFrame | None:
+        """A table with the sets of all ``pairs (a, b)``."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if self.table is not None:
+            ids = ids.join(self.table.select("id"), "id", "left_anti")
+        ids, count = written_and_counted(ids)
+        if count:
+            more = materialise(needed_sets(self.docs, ids, count, self.size, self.seed))
+            self.table = more if self.table is None else self.table.union(more)
+        return self.table
+
+
+def may_link(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose windows have as many cells in common as linked sets must have.
+
+    Sets of ``n`` and ``m`` shingles that link share at least ``o = ceil(p (n + m) / (100 + p))``.
+    Of those the first ``l`` lie among the first ``n - o + l`` of the one and ``m - o + l`` of the
+    other, so windows of ``w`` and ``v`` share ``min(w - n + o, v - m + o)`` cells.
+    """
+    left = fronts.toDF("a", "_na", "_fa")
+    right = fronts.toDF("b", "_nb", "_fb")
+    common = F.expr(f"(({percent} * (_na + _nb) + {99 + percent}) div {100 + percent})")
+    spare = [common - F.expr(f"(({percent} * {n} + 99) div 100)") + 1 for n in ("_na", "_nb")]
+    enough = F.size(F.array_intersect("_fa", "_fb")) >= F.least(*spare)
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+
+def linked_groups(members: DataFrame, sizes: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """``(id, group)`` of all sets in ``members (cell, id)``, by rounds of pivots."""
-    size = sets.select("id", "n")
-    open_ = materialise(members.join(size, "id").withColumn("near", F.lit(None).cast("double")))
-    groups = materialise(open_.select("id").distinct().withColumn("group", F.col("id")))
+    fronts = members.groupBy("id").agg(F.collect_set("cell").alias("front"))
+    fronts = materialise(sizes.join(fronts, "id").select("id", "n", "front"))
+    sized = members.join(fronts.select("id", "n"), "id")
+    open_ = materialise(sized.withColumn("near", F.lit(None).cast("double")))
+    groups = fronts.select("id", F.col("id").alias("group"))
     tested = None
     step = 0
     reach = 1 - percent / 100
@@ -317,19 +353,17 @@ def linked_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = materialise(measured(pairs, sets, percent))
-        edges = found.where("linked").select("a", "b")
-        if edges.limit(1).count():
-            old_a = groups.select(F.col("id").alias("a"), F.col("group").alias("_a"))
-            old_b = groups.select(F.col("id").alias("b"), F.col("group").alias("_b"))
-            between = edges.join(old_a, "a").join(old_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-            merged = connected(between).select(F.col("id").alias("group"), F.col("group").alias("_new"))
-            groups = materialise(
-                groups.join(merged, "group", "left").select("id", F.coalesce("_new", "group").alias("group"))
-            )
+        pairs = materialise(pairs)
+        close = materialise(may_link(pairs, fronts, percent))
+        found = None
+        if (table := sets.holding(close)) is not None:
+            found = materialise(measured(close, table, percent))
+            edges = found.where("linked").select("a", "b")
+            if edges.limit(1).count():
+                groups = materialise(merged(groups, edges))
         gone = pivots.select("cell", F.col("pivot").alias("id"))
         open_ = open_.drop("group").join(gone, ["cell", "id"], "left_anti")
-        if step == 0:
+        if step == 0 and found is not None:
             pivot = pivots.select("cell", "pivot")
             pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
             open_ = (
@@ -339,11 +373,19 @@ def linked_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 .join(found.select("a", "b", F.col("distance").alias("near")), ["a", "b"], "left")
                 .select("cell", "id", "n", "near")
             )
-        done = found.select("a", "b")
-        tested = materialise(done if tested is None else tested.union(done))
+        tested = pairs if tested is None else tested.union(pairs)
         step += 1
 
 
+def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` after joining those that the edges ``(a, b)`` between ids connect."""
+    a = groups.select(F.col("id").alias("a"), F.col("group").alias("_a"))
+    b = groups.select(F.col("id").alias("b"), F.col("group").alias("_b"))
+    between = edges.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    new = connected(between).select(F.col("id").alias("group"), F.col("group").alias("_new"))
+    return groups.join(new, "group", "left").select("id", F.coalesce("_new", "group").alias("group"))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = MIN_PERCENT
 ) -> tuple[DataFrame, int]:
@@ -367,13 +409,9 @@ def near_duplicates(
         seed += 1  # two different sets had the same number
     entries = materialise(cell_entries(docs, size, seed, frequency_order(rows), percent))
     members = materialise(shared_cells(entries))
-    ids, n_ids = written_and_counted(members.select("id").distinct())
-    if n_ids:
-        sets = materialise(needed_sets(docs, ids, n_ids, size, seed))
-        groups = linked_groups(members, sets, percent)
-        classes = classes.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    else:
-        classes = classes.withColumn("group", F.col("id"))
+    sizes = classes.select("id", F.col("lo.n").alias("n"))
+    groups = linked_groups(members, sizes, Sets(docs, size, seed), percent)
+    classes = classes.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
     classes = materialise(classes.select("id", "class_doc", "group"))
     heads = classes.groupBy("group").agg(F.min("class_doc").alias("group_doc"))
     named = materialise(classes.join(heads, "group").select("id", "group", "class_doc", "group_doc"))
