@@ -132,9 +132,19 @@ def test_one_hot_drops_the_first_category(transfers):
     assert values(rows, "receiving_currency_B") == [1, 0, 0]
 
 
-def test_too_many_categories_are_refused():
-    with pytest.raises(ValueError):
-        encoders.checked_categories("account", ["x"] * (encoders.MAX_CATEGORIES + 1))
+def test_any_categories_get_columns(spark):
+    """Names that differ in case only, and more categories than fit a small table."""
+    texts = ["wire", "Wire", "WIRE", "wire_2", None, *[f"c{i}" for i in range(1500)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "txn_id int, kind string")
+    categories = encoders.one_hot_categories(df, ["kind"])
+    names = encoders.named_categories(categories)
+    assert len(names) == 1503 == len({n.lower() for n in names})
+    rows = encoders.one_hot(df, categories)
+    sums = rows.select(*[F.sum(F.col(f"`{n}`")).alias(n) for n in list(names)[-8:]]).first()
+    assert list(sums) == [1] * 8
+    flags = rows.select("txn_id", *[F.col(f"`{n}`") for n, (_, v) in names.items() if v.lower() == "wire"])
+    # The first category of all, WIRE, has no column.
+    assert [sum(r[1:]) for r in flags.orderBy("txn_id").limit(5).collect()] == [1, 1, 0, 0, 0]
 
 
 def test_alignment(spark):

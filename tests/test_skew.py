@@ -44,6 +44,21 @@ def test_hot_accounts_in_the_whole_plan(skewed):
     assert same_rows(left, right)
 
 
+def test_hot_accounts_in_new_data(skewed):
+    plain, split = RiskFeatures().fit(skewed), RiskFeatures(max_group_rows=100).fit(skewed)
+    new = skewed.drop("is_laundering")
+    for mode in ("batch", "frozen"):
+        assert same_rows(plain.transform(new, mode), split.transform(new, mode))
+
+
+def test_receiver_side_is_shuffled_once_with_hot_accounts(skewed):
+    """The receiver's windows are written before the rows are split by sender."""
+    made = RiskFeatures(max_group_rows=1000).fit(skewed).training_features(skewed)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(account_1#" not in plan
+    assert plan.count("hashpartitioning(account#") <= 2
+
+
 def test_runs_are_full_but_the_last(skewed):
     runs = skew.ranked_runs(skewed.withColumn("_sec", F.unix_seconds("ts")), "account", history.ORDER, 50)
     sizes = runs.groupBy("account", skew.RUN).count()
@@ -82,6 +97,29 @@ def test_quantiles_are_exact_when_narrowed(spark):
     exact = frame.agg(
         *[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in ("v", "t")]
     ).first()
-    found = amounts.exact_quantiles(frame, ["v", "t"], shares, max_values=20, accuracy=40)
+    found = amounts.exact_quantiles(frame, ["v", "t"], shares, max_values=20, cuts=40)
     assert found["v"] == pytest.approx(list(exact["v"]), rel=1e-12)
     assert found["t"] == list(exact["t"])
+
+
+def test_quantiles_of_odd_values(spark):
+    """NaN is missing, infinities and negative values are values like others."""
+    inf, nan = float("inf"), float("nan")
+    cases = {
+        "a": [1.0, 2.0, 3.0, nan, nan, None],
+        "b": [-inf, -5.0, -0.0, 0.0, 5e-324, inf, 1e308, -1e308],
+        "c": [-float(i) for i in range(200)] + [nan],
+        "d": [nan, None],
+    }
+    for name, data in cases.items():
+        frame = spark.createDataFrame([(v,) for v in data], "v double")
+        found = amounts.exact_quantiles(frame, ["v"], [0.25, 0.5, 0.75], max_values=3, cuts=5)["v"]
+        own = sorted(v for v in data if v is not None and v == v)
+        if not own:
+            assert all(v != v for v in found)
+            continue
+        for p, v in zip([0.25, 0.5, 0.75], found, strict=True):
+            at = (len(own) - 1) * p
+            low, high = own[int(at)], own[-int(-at // 1)] if at != int(at) else own[int(at)]
+            expected = low if low == high else low + (at - int(at)) * (high - low)
+            assert v == pytest.approx(expected), name

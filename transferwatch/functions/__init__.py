@@ -2,6 +2,7 @@ from transferwatch.functions.scalars import (  # noqa: F401
     as_flag,
     calendar_parts,
     composite_key,
+    exact_key,
     confidence,
     epoch_seconds,
     objective,

@@ -66,6 +66,13 @@ def composite_key(*columns: str | Column) -> Column:
     return F.concat_ws("_", *[F.coalesce(p.cast("string"), F.lit(MISSING_PART)) for p in parts])
 
 
+def exact_key(*columns: str | Column) -> Column:
+    """One text per combination of values: parts carry their length, a missing part is ``-``."""
+    parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    marked = [F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.concat(*marked)
+
+
 def to_number(column: str | Column) -> Column:
     """Text as a double; 0 where it is no number or missing."""
     value = F.col(column) if isinstance(column, str) else column

@@ -26,9 +26,6 @@ INTERACTIONS = {
     "bank_payment_hour_freq_enc": ["from_bank", "payment_format", "hour"],
 }
 
-# Widest one-hot encoding that still makes a sensible row.
-MAX_CATEGORIES = 1_000
-
 
 def with_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns(calendar_parts(TIME))
@@ -95,31 +92,40 @@ def _sender_frequency(
 
 
 def one_hot_categories(df: DataFrame, columns: list[str] = ONE_HOT) -> dict[str, list[str]]:
-    """Sorted categories of each column. Meant for columns of few values, and says so otherwise."""
+    """Sorted categories of each column: as many as there are, each of them a column later."""
     categories = {}
     for column in columns:
         values = df.select(column).where(F.col(column).isNotNull()).distinct()
-        found = [r[0] for r in values.limit(MAX_CATEGORIES + 1).collect()]
-        categories[column] = checked_categories(column, found)
+        categories[column] = sorted(r[0] for r in values.collect())
     return categories
 
 
-def checked_categories(column: str, values: list[str]) -> list[str]:
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has over {MAX_CATEGORIES} values: no column to encode one-hot")
-    return sorted(values)
+def named_categories(categories: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
+    """Column and category by the name of the one-hot column, the first category left out.
+
+    Names that Spark would take for the same, which ignores case, get a number.
+    """
+    named: dict[str, tuple[str, str]] = {}
+    taken: set[str] = set()
+    for column, values in categories.items():
+        for value in values[1:]:
+            name, copy = f"{column}_{value}", 1
+            while name.lower() in taken:
+                copy += 1
+                name = f"{column}_{value}_{copy}"
+            taken.add(name.lower())
+            named[name] = (column, value)
+    return named
 
 
 def one_hot_names(categories: dict[str, list[str]]) -> list[str]:
-    return [f"{c}_{v}" for c, values in categories.items() for v in values[1:]]
+    return list(named_categories(categories))
 
 
 def one_hot_columns(categories: dict[str, list[str]]) -> dict[str, Column]:
     """One 0/1 column per category but the first; all 0 for a missing or unknown value."""
     return {
-        f"{c}_{v}": as_flag(F.col(c) == F.lit(v))
-        for c, values in categories.items()
-        for v in values[1:]
+        name: as_flag(F.col(c) == F.lit(v)) for name, (c, v) in named_categories(categories).items()
     }
 
 

@@ -19,6 +19,7 @@ from transferwatch.operators.skew import (
     MAX_GROUP_ROWS,
     RANK,
     RUN,
+    by_size,
     hot_keys,
     join_same,
     ranked_runs,
@@ -27,6 +28,7 @@ from transferwatch.operators.skew import (
     with_overlap,
 )
 from transferwatch.schema import AMOUNTS, ID, LABEL, SENDER, TIME, Side
+from transferwatch.session import materialise
 
 # Fixed values.
 ROLLING_ROWS = 5
@@ -74,8 +76,10 @@ def side_features(
     ``counted_on`` is a cheaper frame of the same rows on which to look for hot accounts.
     """
     wanted = set(wanted)
-    timed = df.withColumn(SECOND, epoch_seconds(TIME))
     hot_accounts = hot_keys(df if counted_on is None else counted_on, side.key, max_group_rows)
+    if hot_accounts is not None and counted_on is not None and df is not counted_on:
+        df = materialise(df)  # both branches read it: what made it must not run twice
+    timed = df.withColumn(SECOND, epoch_seconds(TIME))
     ordinary, hot = split_hot(timed, side.key, hot_accounts)
     result = _ordinary(ordinary, side, wanted, label, lookup)
     if hot is not None:
@@ -84,6 +88,11 @@ def side_features(
     return result.drop(SECOND)
 
 
+def _counted(wanted: set[str], label: str) -> str:
+    """What totals count: labels where labels take part, otherwise rows."""
+    return label if FRAUD_RATE in wanted else "*"
+
+
 def history_columns(side: Side, wanted: set[str], part: list[str]) -> dict[str, Column]:
     """Columns over the account's rows in time order, each on a short row frame."""
     ordered = W.partitionBy(*part).orderBy(*ORDER)
@@ -139,7 +148,8 @@ def _ordinary(
     whole = W.partitionBy(key)
     totals: dict[str, Column] = {}
     if TOTALS in wanted:
-        totals[f"{side.name}_total_txn"] = F.when(known, F.count("*").over(whole))
+        totals[f"{side.name}_total_txn"] = F.when(known, F.count(_counted(wanted, label)).over(whole))
+        totals[f"{side.name}_rows"] = F.when(known, F.count("*").over(whole))
     if FRAUD_RATE in wanted:
         rate = F.avg(F.col(label).cast("double")).over(whole)
         totals[f"{side.name}_fraud_rate"] = F.when(known, rate)
@@ -187,7 +197,8 @@ def _hot(
 
     # One row per hot key, so these tables are as small as the list of hot keys.
     per_key = runs.groupBy(key).agg(
-        F.count("*").alias("_total"),
+        F.count(_counted(wanted, label)).alias("_total"),
+        F.count("*").alias("_rows"),
         F.avg(F.col(label).cast("double")).alias("_rate")
         if FRAUD_RATE in wanted
         else F.lit(None).cast("double").alias("_rate"),
@@ -195,11 +206,12 @@ def _hot(
     totals: dict[str, Column] = {}
     if TOTALS in wanted:
         totals[f"{side.name}_total_txn"] = F.when(known, F.col("_total"))
+        totals[f"{side.name}_rows"] = F.when(known, F.col("_rows"))
     if FRAUD_RATE in wanted:
         totals[f"{side.name}_fraud_rate"] = F.when(known, F.col("_rate"))
     if totals:
-        result = join_same(result, F.broadcast(per_key), [key])
-        result = result.withColumns(totals).drop("_total", "_rate")
+        result = join_same(result, by_size(materialise(per_key)), [key])
+        result = result.withColumns(totals).drop("_total", "_rows", "_rate")
     if UNIQUE_OTHERS in wanted:
         others = (
             runs.select(key, side.other)
@@ -207,7 +219,7 @@ def _hot(
             .groupBy(key)
             .agg(F.count(side.other).alias(side.unique_others))
         )
-        result = join_same(result, F.broadcast(others), [key])
+        result = join_same(result, by_size(materialise(others)), [key])
         result = result.withColumn(side.unique_others, F.when(known, F.col(side.unique_others)))
     if PAIR_COUNT in wanted:
         pairs = runs.groupBy(key, side.other).agg(F.count("*").alias(PAIR_ROWS))
@@ -216,8 +228,9 @@ def _hot(
         formats = runs.groupBy(key, "payment_format").agg(F.count("*").alias(FORMAT_ROWS))
         result = spread_join(result, formats, [key, "payment_format"], RUN)
     if lookup is not None:
-        hot_lookup = lookup.join(F.broadcast(runs.select(key).distinct()), key, "left_semi")
-        result = result.join(F.broadcast(hot_lookup), key, "left")
+        known_keys = by_size(materialise(runs.select(key).distinct()))
+        hot_lookup = materialise(lookup.join(known_keys, key, "left_semi"))
+        result = spread_join(result, hot_lookup, [key], RUN)
     return result.drop(RANK, RUN)
 
 
@@ -251,7 +264,8 @@ def recency(df: DataFrame, side: Side, **options) -> DataFrame:
 def account_totals(df: DataFrame, side: Side, label: str | None = LABEL, **options) -> DataFrame:
     """Transfers of the account and, with a label, the share of them that is laundering."""
     wanted = [TOTALS] if label is None else [TOTALS, FRAUD_RATE]
-    return side_features(df, side, wanted, label=label or LABEL, **options)
+    found = side_features(df, side, wanted, label=label or LABEL, **options)
+    return found.drop(f"{side.name}_rows")
 
 
 def unique_counterparties(df: DataFrame, side: Side, **options) -> DataFrame:
@@ -262,6 +276,6 @@ def unique_counterparties(df: DataFrame, side: Side, **options) -> DataFrame:
 def account_frequency(df: DataFrame, side: Side, total: Column, **options) -> DataFrame:
     """The account's share of the rows in ``total``."""
     counted = side_features(df, side, [TOTALS], **options)
-    name = f"{side.name}_total_txn"
-    return counted.withColumn(f"{side.key}_freq_enc", share(F.col(name), total))
+    rows = f"{side.name}_rows"
+    return counted.withColumn(f"{side.key}_freq_enc", share(F.col(rows), total)).drop(rows)
 

@@ -18,9 +18,6 @@ from transferwatch.session import materialise
 
 # Rows of one key that a single task may sort.
 MAX_GROUP_ROWS = 2_000_000
-# A key below this share of all rows is no larger than an ordinary task's input, so at most
-# 1 / HOT_SHARE keys can be hot: the list of hot keys stays small whatever the data size.
-HOT_SHARE = 1e-5
 # Largest side that is broadcast.
 MAX_BROADCAST_ROWS = 200_000
 # Pieces a shuffled lookup spreads each key over.
@@ -34,18 +31,17 @@ CARRIED = "_carried"
 def hot_keys(df: DataFrame, key: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame | None:
     """Values of ``key`` (null included) whose rows are too many for one task, or None.
 
-    Counts are combined before they are shuffled. At most ``1 / HOT_SHARE`` keys come back.
+    Counts are combined before they are shuffled. The limit does not grow with the data, so the
+    list may; it is a written table, and joined by its size.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    limit = F.greatest(F.lit(max_group_rows), F.col("total") * F.lit(HOT_SHARE))
-    hot = (
-        counts.where(F.col("n") > max_group_rows)
-        .join(F.broadcast(total), F.col("n") > limit)
-        .select(key)
-    )
-    found = hot.collect()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    hot = materialise(counts.where(F.col("n") > max_group_rows).select(key))
+    return None if hot.isEmpty() else hot
+
+
+def by_size(table: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``table``, marked to be broadcast if it is small enough. Counts it: give a written table."""
+    return F.broadcast(table) if table.count() <= max_broadcast_rows else table
 
 
 def split_hot(
@@ -54,7 +50,7 @@ def split_hot(
     """Rows of ordinary keys, and rows of the keys in ``hot`` (None when there are none)."""
     if hot is None:
         return df, None
-    hot = F.broadcast(hot.withColumnRenamed(key, "_hot"))
+    hot = by_size(hot).withColumnRenamed(key, "_hot")
     match = F.col(key).eqNullSafe(F.col("_hot"))
     return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
 
@@ -75,11 +71,11 @@ def ranked_runs(df: DataFrame, key: str, order: list[str], run_rows: int) -> Dat
         F.min("_pos").alias("_first"), F.count("*").alias("_n")
     )
     before = W.partitionBy("_key").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    pieces = materialise(pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
     match = (F.col("_part") == F.col("_piece")) & F.col(key).eqNullSafe(F.col("_key"))
     rank = F.col("_pos") - F.col("_first") + F.col("_before")
     return (
-        ordered.join(F.broadcast(pieces), match)
+        ordered.join(by_size(pieces), match)
         .withColumn(RANK, rank)
         .withColumn(RUN, F.floor(F.col(RANK) / F.lit(run_rows)))
         .drop("_part", "_pos", "_key", "_piece", "_first", "_n", "_before")

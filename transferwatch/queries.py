@@ -21,7 +21,7 @@ from transferwatch.schema import AMOUNTS, ID, LABEL, RECEIVER, SENDER
 from transferwatch.session import ensure_checkpoint_dir, materialise, prepare
 from transferwatch.sources import artefacts, fixtures
 from transferwatch.streaming import jobs
-from transferwatch.streaming.velocity import ROCKSDB, stream_velocity
+from transferwatch.streaming.velocity import stream_velocity, use_rocksdb
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -427,7 +427,7 @@ def _finished(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 
 def stream_velocity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_rocksdb(spark)
     stream = stream_velocity(_event_stream(spark, sf_dir), "user_id", "event_id")
     rows = _finished(stream, spark, "velocity")
     return rows.select(
@@ -452,7 +452,7 @@ def stream_prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    run = _training_run(spark, sf_dir)
+    run = pipeline.current_run(spark, _training_run(spark, sf_dir))
     stream = jobs.read_stream(
         spark, f"{run}/production", spark.read.parquet(f"{run}/production").schema
     )

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class _Open(threading.local):
+    """Folders written since each open ``scratch`` of this thread began, the innermost last."""
+
+    def __init__(self) -> None:
+        self.folders: list[list[str]] = []
+
+
+_open = _Open()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is materialised inside once the block has ended, however it ends.
+
+    Tables materialised outside of any such block stay: their readers may come later.
+    """
+    _open.folders.append([])
+    try:
+        yield
+    finally:
+        for path in _open.folders.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder on whichever file system it names."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared checkpoint folder, owned by the innermost ``scratch``."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if _open.folders:
+        _open.folders[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there afterwards.
 
@@ -37,6 +78,6 @@ def materialise(df: DataFrame) -> DataFrame:
     and its size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
