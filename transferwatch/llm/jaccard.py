@@ -48,9 +48,9 @@ MIN_PERCENT = 80
 # Shingles a task reports as frequent, and those that are ordered by frequency in the end.
 LOCAL_FREQUENT = 20_000
 GLOBAL_FREQUENT = 200_000
-_COUNTED_AT_ONCE = 4 << 20
+_COUNTED_AT_ONCE = 1 << 20
 # Pivots of a cell in each round; later rounds take the last number.
-PIVOTS = (1, 8, 64, 512)
+PIVOTS = (1, 32, 512)
 
 
 def shingle_sets(texts: Texts, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -165,7 +165,10 @@ def frequency_order(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def cell_entries(
     docs: DataFrame, size: int, seed: int, order: tuple[np.ndarray, np.ndarray], percent: int
 ) -> DataFrame:
-    """``(cell, id)``: every set with the cells its window reaches, once per task and set."""
+    """``(cell, id, place)``: every set with the cells its window reaches, once per task and set.
+
+    ``place`` is how many of the set's shingles come before the cell's.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
@@ -173,7 +176,7 @@ def cell_entries(
         known: set[int] = set()
         for _, sets in sets_of(batches, size):
             one, _ = set_sums(sets, seed)
-            cells, ids = [], []
+            cells, ids, places_in = [], [], []
             for key, s in zip(one.tolist(), sets, strict=True):
                 if not len(s) or key in known:
                     continue
@@ -190,13 +193,18 @@ def cell_entries(
                     rare = s[:reach]
                 cells.append(rare)
                 ids.append(np.full(len(rare), key, dtype=np.uint64))
+                places_in.append(np.arange(len(rare), dtype=np.int32))
             if cells:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(cells))), pa.array(signed(np.concatenate(ids)))],
-                    ["cell", "id"],
+                    [
+                        pa.array(signed(np.concatenate(cells))),
+                        pa.array(signed(np.concatenate(ids))),
+                        pa.array(np.concatenate(places_in)),
+                    ],
+                    ["cell", "id", "place"],
                 )
 
-    return docs.select("text").mapInArrow(run, "cell long, id long")
+    return docs.select("text").mapInArrow(run, "cell long, id long, place int")
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, seed: int) -> DataFrame:
@@ -286,7 +294,7 @@ class Sets:
         self.docs, self.size, self.seed = docs, size, seed
         self.table: DataFrame | None = None
 
-    def holding(self, pairs: DataFrame) -> DataFrame | None:
+    def holding(self, pairs: DataFrame) -> DataFrame:
         """A table with the sets of all ``pairs (a, b)``."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if self.table is not None:
@@ -314,14 +322,20 @@ def may_link(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_groups(members: DataFrame, sizes: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """``(id, group)`` of all sets in ``members (cell, id)``, by rounds of pivots."""
+    """``(id, group)`` of all sets in ``members (cell, id, place)``, by rounds of pivots.
+
+    Pivots are taken first among the sets whose windows hold the fewest cells of their own: in a
+    group of copies these lie in its middle, so most members link to them at once.
+    """
     fronts = members.groupBy("id").agg(F.collect_set("cell").alias("front"))
     fronts = materialise(sizes.join(fronts, "id").select("id", "n", "front"))
-    sized = members.join(fronts.select("id", "n"), "id")
+    own = F.expr(f"n - (({percent} * n + 99) div 100) + 1") - F.size("front")
+    sized = members.join(fronts.select("id", "n", own.alias("own")), "id")
     open_ = materialise(sized.withColumn("near", F.lit(None).cast("double")))
     groups = fronts.select("id", F.col("id").alias("group"))
     tested = None
     step = 0
+    common = F.expr(f"(({percent} * (n + pivot_n) + {99 + percent}) div {100 + percent})")
     reach = 1 - percent / 100
     while True:
         labelled = open_.join(groups, "id")
@@ -330,7 +344,7 @@ def linked_groups(members: DataFrame, sizes: DataFrame, sets: Sets, percent: int
         open_, left = written_and_counted(labelled.join(mixed, "cell", "left_semi"))
         if not left:
             return groups
-        first = W.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
+        first = W.partitionBy("cell").orderBy("own", F.xxhash64("id"), "id")
         count = PIVOTS[min(step, len(PIVOTS) - 1)]
         chosen = open_.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= count)
         pivots = materialise(
@@ -338,6 +352,7 @@ def linked_groups(members: DataFrame, sizes: DataFrame, sets: Sets, percent: int
                 "cell",
                 F.col("id").alias("pivot"),
                 F.col("n").alias("pivot_n"),
+                F.col("place").alias("pivot_place"),
                 F.col("group").alias("pivot_group"),
                 F.col("near").alias("pivot_near"),
             )
@@ -345,6 +360,9 @@ def linked_groups(members: DataFrame, sizes: DataFrame, sets: Sets, percent: int
         met = open_.join(pivots, "cell").where(
             (F.col("group") != F.col("pivot_group"))
             & (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
+            # The first common cell of sets that link leaves room for all they must share.
+            & (F.col("place") <= F.col("n") - common)
+            & (F.col("pivot_place") <= F.col("pivot_n") - common)
             # Distances to the cell's first pivot, where both are known, bound the distance.
             & F.coalesce(F.abs(F.col("near") - F.col("pivot_near")) <= reach + 1e-9, F.lit(True))
         )
@@ -353,11 +371,11 @@ def linked_groups(members: DataFrame, sizes: DataFrame, sets: Sets, percent: int
         ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        close = materialise(may_link(pairs, fronts, percent))
+        pairs, n_pairs = written_and_counted(pairs)
+        close, n_close = written_and_counted(may_link(pairs, fronts, percent)) if n_pairs else (None, 0)
         found = None
-        if (table := sets.holding(close)) is not None:
-            found = materialise(measured(close, table, percent))
+        if n_close:
+            found = materialise(measured(close, sets.holding(close), percent))
             edges = found.where("linked").select("a", "b")
             if edges.limit(1).count():
                 groups = materialise(merged(groups, edges))
@@ -369,11 +387,12 @@ def linked_groups(members: DataFrame, sizes: DataFrame, sets: Sets, percent: int
             open_ = (
                 open_.drop("near")
                 .join(pivot, "cell")
-                .select("cell", "id", "n", *pair)
+                .select("cell", "id", "place", "n", "own", *pair)
                 .join(found.select("a", "b", F.col("distance").alias("near")), ["a", "b"], "left")
-                .select("cell", "id", "n", "near")
+                .select("cell", "id", "place", "n", "own", "near")
             )
-        tested = pairs if tested is None else tested.union(pairs)
+        if n_pairs:
+            tested = pairs if tested is None else tested.union(pairs)
         step += 1
 
 
