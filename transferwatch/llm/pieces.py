@@ -36,6 +36,8 @@ from transferwatch.llm.arrays import _BYTE_VALUES, _powers, chunks, mix
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 SCALE = 10_000
+# Text handled at once: more bytes share more words.
+TEXT_CHUNK = 4 << 20
 # Words a task remembers from one run of texts to the next.
 REMEMBERED = 400_000
 # Longer words are searched one by one.
@@ -463,7 +465,7 @@ def encode(
     def run(batches):
         model = sent.value
         for batch in batches:
-            for rows, texts in chunks(batch, text):
+            for rows, texts in chunks(batch, text, limit=TEXT_CHUNK):
                 size = len(texts)
                 got = model.encode(texts.data, texts.offsets, n_best)
                 data, at = model.decode(got["ids"], got["offsets"])
