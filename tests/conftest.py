@@ -26,6 +26,15 @@ def spark():
     return prepare(session)
 
 
+@pytest.fixture(scope="session", autouse=True)
+def small_models():
+    """The learning queries train small models in tests."""
+    from transferwatch import queries
+    from transferwatch.plans.learning import Settings
+
+    queries.SETTINGS = Settings(trees=10, tree_depth=6, rounds=5)
+
+
 @pytest.fixture(scope="session")
 def tx(spark):
     from transferwatch.sources import fixtures

@@ -1,5 +1,8 @@
 """Every query with SQL gives what the SQL gives in another engine."""
 
+import importlib
+import sys
+
 import duckdb
 import pytest
 
@@ -39,6 +42,17 @@ def test_every_sql_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_entry_without_the_text_queries(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # importing it now fails
+    importlib.reload(__spark_entry__)
+    assert set(__spark_entry__.queries()) == set(QUERIES)
+    assert set(__spark_entry__.oracle_sql()) == set(ORACLES)
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
+
+
 def test_entry(spark):
     import __spark_entry__
 

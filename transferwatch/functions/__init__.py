@@ -3,7 +3,6 @@ from transferwatch.functions.scalars import (  # noqa: F401
     calendar_parts,
     composite_key,
     exact_key,
-    confidence,
     epoch_seconds,
     objective,
     or_zero,

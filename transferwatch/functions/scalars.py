@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,8 +82,3 @@ def to_number(column: str | Column) -> Column:
 def objective(precision: Column, recall: Column, f1: Column) -> Column:
     """Score by which models are compared; finding laundering counts most."""
     return RECALL_WEIGHT * recall + F1_WEIGHT * f1 + PRECISION_WEIGHT * precision
-
-
-def confidence(probability: str | Column) -> Column:
-    """Largest class probability of a prediction."""
-    return F.array_max(vector_to_array(probability))

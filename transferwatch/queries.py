@@ -374,6 +374,7 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- learning -----------------------------------------------------------------------------------
 
+SETTINGS = learning.Settings()
 _runs: dict[tuple[str, str], str] = {}
 
 
@@ -382,7 +383,7 @@ def _training_run(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _runs:
         folder = f"{ensure_checkpoint_dir(spark)}/run-{len(_runs)}-{abs(hash(sf_dir))}"
-        pipeline.run_training(_tx(spark, sf_dir), folder, run_id="queries")
+        pipeline.run_training(_tx(spark, sf_dir), folder, run_id="queries", settings=SETTINGS)
         _runs[key] = folder
     return _runs[key]
 
