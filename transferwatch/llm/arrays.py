@@ -162,11 +162,3 @@ def sums_by(owner: np.ndarray, values: np.ndarray | None, n: int) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as a signed number, which Spark can hold."""
     return x.view(np.int64)
-
-
-def fixed_rows(batch: pa.RecordBatch, rows: slice) -> pa.RecordBatch:
-    return batch.slice(rows.start, rows.stop - rows.start)
-
-
-def list_array(offsets: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
