@@ -7,7 +7,8 @@ A word's hash depends on its bytes alone: it is the same in every batch, task an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"]
 
 
+def tidy(run: Callable, *after: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, leaving no working memory behind in its Python process.
+
+    Later tasks use the process again, beside others on the same machine.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for step in after:
+                step()
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def byte_class(members: bytes | range | list[int]) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(members)] = True

@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transferwatch.llm.arrays import Texts, chunks, mix, random_words, signed, windows
+from transferwatch.llm.arrays import Texts, chunks, mix, random_words, signed, windows, tidy
 from transferwatch.llm.tables import small, written_and_counted
 from transferwatch.session import materialise
 
@@ -143,7 +143,7 @@ def described(docs: DataFrame, size: int, seed: int) -> DataFrame:
             yield report()
 
     schema = "doc_id long, id long, other long, n long, shingle long, seen long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def frequency_order(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +204,7 @@ def cell_entries(
                     ["cell", "id", "place"],
                 )
 
-    return docs.select("text").mapInArrow(run, "cell long, id long, place int")
+    return docs.select("text").mapInArrow(tidy(run), "cell long, id long, place int")
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, seed: int) -> DataFrame:
@@ -228,7 +228,7 @@ def needed_sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, seed: in
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(signed(one[chosen])), lists], ["id", "shingles"])
 
-    rows = docs.select("text").mapInArrow(run, "id long, shingles array<long>")
+    rows = docs.select("text").mapInArrow(tidy(run), "id long, shingles array<long>")
     found = rows.join(small(ids, n_ids), "id", "left_semi")
     return found.groupBy("id").agg(F.any_value("shingles").alias("shingles"))
 
@@ -492,4 +492,4 @@ def with_set_id(docs: DataFrame, text: str, size: int, seed: int) -> DataFrame:
                 own = pa.array(signed(np.concatenate(ids)), mask=np.array(empty))
                 yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "_set"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

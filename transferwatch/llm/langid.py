@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transferwatch.llm.arrays import Texts, byte_class, chunks
+from transferwatch.llm.arrays import Texts, byte_class, chunks, tidy
 from transferwatch.llm.tables import dense_sums, gather_named
 
 BUCKET_BITS = 16
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     ["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def identify(docs: DataFrame) -> DataFrame:

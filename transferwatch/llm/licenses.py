@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from transferwatch.llm.arrays import ALPHANUMERIC, Texts, Words, chunks
+from transferwatch.llm.arrays import ALPHANUMERIC, Texts, Words, chunks, tidy
 from transferwatch.llm.tables import dense_sums, gather, narrow
 
 # Phrases of the base labels.
@@ -224,7 +224,7 @@ def scan(
                     [ids, *[as_column(found[c], kinds.get(c, pa.int64())) for c in names[1:]]], names
                 )
 
-    return narrow(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return narrow(docs, "doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def as_column(values: list | np.ndarray, kind: pa.DataType) -> pa.Array:

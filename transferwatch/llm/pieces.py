@@ -31,13 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from transferwatch.llm.arrays import _BYTE_VALUES, _powers, chunks, mix
+from transferwatch.llm.arrays import _BYTE_VALUES, _powers, chunks, mix, tidy
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 SCALE = 10_000
 # Text handled at once: more bytes share more words.
-TEXT_CHUNK = 4 << 20
+TEXT_CHUNK = 2 << 20
 # Words a task remembers from one run of texts to the next.
 REMEMBERED = 400_000
 # Longer words are searched one by one.
@@ -115,6 +115,11 @@ class PieceModel:
             ranks.append(-model.get_score(i))
         return cls(pieces, ranks, byte_ids)
 
+    def forget(self) -> None:
+        """Drop the words remembered so far."""
+        self.words.clear()
+        self.memory = None
+
     def _slots(self) -> None:
         """Tables from hash to id: what collides in the first stands in the second, and so on."""
         ids = np.array([self.index[p] for p in self.index], dtype=np.int32)
@@ -502,4 +507,4 @@ def encode(
                 own = [batch.column(c).slice(rows.start, size) for c in keep]
                 yield pa.RecordBatch.from_arrays(own + columns, names)
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run, lambda: sent.value.forget()), schema)

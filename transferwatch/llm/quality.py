@@ -19,14 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transferwatch.llm.arrays import (
-    Texts,
-    byte_class,
-    chunks,
-    mix,
-    sums_by,
-    windows,
-)
+from transferwatch.llm.arrays import Texts, byte_class, chunks, mix, sums_by, windows, tidy
 from transferwatch.llm.tables import dense_sums, gather, narrow
 
 BUCKET_BITS = 16
@@ -145,7 +138,7 @@ class QualityRules:
                     )
 
         columns = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-        return columns.mapInArrow(run, SCHEMA)
+        return columns.mapInArrow(tidy(run), SCHEMA)
 
     def keep(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The documents that pass, with all their columns."""
@@ -157,7 +150,7 @@ class QualityRules:
                     part = batch.slice(rows.start, len(texts))
                     yield part.filter(pa.array(rules.value.judge(texts)["kept"]))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:

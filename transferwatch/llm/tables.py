@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from transferwatch.llm.arrays import tidy
 from transferwatch.session import materialise
 
 # Largest table that is sent to every executor, in rows of a few numbers each.
@@ -64,7 +65,7 @@ def dense_sums(
                 ["name", "piece", "part"],
             )
 
-    parts = df.mapInArrow(emit, "name string, piece long, part array<double>")
+    parts = df.mapInArrow(tidy(emit), "name string, piece long, part array<double>")
     def add(batches):
         total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
@@ -86,7 +87,7 @@ def dense_sums(
                 ["name", "piece", "total"],
             )
 
-    return parts.repartition("name", "piece").mapInArrow(add, "name string, piece long, total array<double>")
+    return parts.repartition("name", "piece").mapInArrow(tidy(add), "name string, piece long, total array<double>")
 
 
 def gather(sums: DataFrame, sizes: dict[str, int], chunk: int = 4096) -> dict[str, np.ndarray]:
