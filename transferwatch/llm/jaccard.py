@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transferwatch.llm.arrays import Texts, chunks, mix, random_words, signed, windows, tidy
+from transferwatch.llm.arrays import Texts, chunks, mix, random_words, signed, tidy, windows
 from transferwatch.llm.tables import small, written_and_counted
 from transferwatch.session import materialise
 

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from transferwatch.llm.arrays import _BYTE_VALUES, _powers, chunks, mix, tidy
@@ -503,7 +504,7 @@ def encode(
                     pa.array(same, pa.bool_()),
                 ]
                 empty = pa.array(bare)
-                columns = [pa.compute.if_else(empty, pa.scalar(None, c.type), c) for c in columns]
+                columns = [pc.if_else(empty, pa.scalar(None, c.type), c) for c in columns]
                 own = [batch.column(c).slice(rows.start, size) for c in keep]
                 yield pa.RecordBatch.from_arrays(own + columns, names)
 

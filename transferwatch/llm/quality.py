@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transferwatch.llm.arrays import Texts, byte_class, chunks, mix, sums_by, windows, tidy
+from transferwatch.llm.arrays import Texts, byte_class, chunks, mix, sums_by, tidy, windows
 from transferwatch.llm.tables import dense_sums, gather, narrow
 
 BUCKET_BITS = 16
