@@ -17,11 +17,14 @@ from transferwatch.llm import forest, jaccard, langid, licenses, lm, mixing, pie
 from transferwatch.llm.tables import read
 from transferwatch.session import prepare
 
+# Rows that Spark hands to Python at once: with texts of some kB, a few MB on either side.
+BATCH_ROWS = "1000"
+
 _SHIPPED: set[str] = set()
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Prepare the session and send this package to the executors, once per application."""
+    """Prepare the session, bound what tasks hand to Python, and send this package to the executors."""
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         _SHIPPED.add(application)
@@ -30,6 +33,7 @@ def ready(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(
             shutil.make_archive(str(target), "zip", package.parent, package.name)
         )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return prepare(spark)
 
 
