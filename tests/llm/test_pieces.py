@@ -42,7 +42,7 @@ def test_any_text(model, text):
 
 
 def test_search_alone_agrees_with_all_words_at_once(model):
-    for word in [b" Verantwortung", b" " + b"z" * 60, "ééé".encode()]:
+    for word in [b" Verantwortung", b" " + b"z" * 60, " était".encode()]:
         data = np.frombuffer(word, dtype=np.uint8)
         score, loss, ids, _ = model.segment(data, np.array([0]), np.array([len(word)]))
         scores, _ = model.search(word, 2)
