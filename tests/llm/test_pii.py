@@ -73,6 +73,33 @@ def test_any_text_turns_back(text):
         assert after == text
 
 
+@pytest.mark.parametrize(
+    "kind, value, text",
+    [
+        ("card", "4111111111111111", "{} 123"),
+        ("card", "4111 1111 1111 1111", "{} 12/25"),
+        ("card", "4111111111111111", "order 12 {}"),
+        ("card", "4111111111111111", "order 12 {} 99"),
+        ("iban", "ES91 2100 0418 4502 0005 1332", "{} BIC"),
+        ("iban", "ES91 2100 0418 4502 0005 1332", "AB12 {} BANK"),
+        ("phone", "(555) 123-4567", "call {}"),
+        ("phone", "555-123-4567", "call {}."),
+        ("phone", "+15551234567", "call {}"),
+        ("phone", "+44 20 7946 0958", "call {}"),
+    ],
+)
+def test_neighbours_hide_no_value(kind, value, text):
+    after, counts = pii.pseudonymise(text.format(value), NAMES)
+    assert counts == dict.fromkeys(pii.KINDS, 0) | {kind: 1}
+    assert after == text.format(NAMES.replace(kind, value)) and value not in after
+    assert NAMES.restore(kind, NAMES.replace(kind, value)) == value
+
+
+def test_layouts_of_a_phone_stay_linked():
+    same = ("+1 (555) 123-4567", "+15551234567", "1-555-123-4567", "(555) 123-4567", "555-123-4567")
+    assert len({"".join(c for c in NAMES.replace("phone", p) if c.isdigit())[-10:] for p in same}) == 1
+
+
 def test_query_leaves_nothing_planted(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = QUERIES["op10_pii_pseudonyms"](spark, "/root/testdata/sf0.01").collect()

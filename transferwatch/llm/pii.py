@@ -10,13 +10,16 @@ different ones, and whoever holds the key can turn them back (``Pseudonyms.resto
 | card | 13 to 19 digits, also in groups, valid check digit | all digits, check digit made anew |
 | iban | two letters, valid mod-97 check | digits and letters of the account part, check made anew |
 | ssn | ``ddd-dd-dddd`` with a valid area, group and serial | all three parts, within their ranges |
-| phone | ``+1 (ddd) ddd-dddd`` and its usual layouts | the ten digits |
+| phone | ``+1 (ddd) ddd-dddd`` and its usual layouts, also without the 1; + and 8 to 15 digits | all digits but the country code |
 | ip | four parts up to 255 | the 32 bits |
 | date | existing days 1900 to 2099 in three layouts | the day |
 | email | local part, at sign, domain | the local part's letters and digits, by class |
 | secret | a value assigned to password, token, secret, key | its letters and digits, by class |
 
-What fails its check stays as it is. Null and empty texts stay as they are. Whole texts are read,
+A card or iban that fails its check is tried again without its last groups, then from each later
+start: a number beside it hides no value. What still fails stays as it is. Equal values get equal
+pseudonyms whatever stands beside them, so in rare cases a pseudonym and digits beside it pass
+a check together; such a value is turned back by ``restore`` rather than by reading the text. Null and empty texts stay as they are. Whole texts are read,
 line by line, however long. Other columns are handed through, whatever their names.
 """
 
@@ -58,13 +61,20 @@ _PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)"
     r"(?P<gap>\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,})",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "phone": r"(?<![\w+])\+?1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]\d{4}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+?1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
+    r"|(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!-?\w)"
+    r"|\+[1-9](?:[ .\-]?\(?\d\)?){7,14}(?!\d))",
     "date": r"(?<![\w.\-/])(?:(?P<iso>\d{4}-\d{2}-\d{2})|(?P<us>\d{2}/\d{2}/\d{4})|(?P<dot>\d{2}\.\d{2}\.\d{4}))(?![\w\-/])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "card": r"(?<!\w)\d(?:[ \-]?\d){12,18}(?!\w)",
 }
 _SEARCH = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS.items()))
+_KINDS = {kind: re.compile(pattern) for kind, pattern in _PATTERNS.items()}
+# Country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49".split()} | {
+    *"51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+}
 _WORTH = re.compile(r"[0-9@=:]")
 _LAYOUTS = {"iso": "%Y-%m-%d", "us": "%m/%d/%Y", "dot": "%d.%m.%Y"}
 
@@ -137,7 +147,12 @@ class Pseudonyms:
         return _fill(text, payload + str(check_digit(payload)))
 
     def _phone(self, text: str, back: bool) -> str:
-        return self._digits(text, "phone", back, fixed=1)
+        digits = "".join(c for c in text if c.isdigit())
+        if text[0] != "+":
+            fixed = len(digits) - 10
+        else:
+            fixed = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+        return self._digits(text, "phone", back, fixed)
 
     def _ip(self, text: str, back: bool) -> str:
         a, b, c, d = map(int, text.split("."))
@@ -226,24 +241,48 @@ def valid(kind: str, text: str) -> bool:
     return True
 
 
+def value_at(line: str, at: int, first: str) -> tuple[str, int, int] | None:
+    """Kind, start and stop of the value at a place: of the first kind from ``first`` on that has a valid one."""
+    kinds = list(_PATTERNS)
+    for kind in kinds[kinds.index(first) :]:
+        if match := _KINDS[kind].match(line, at):
+            start, stop = match.span("value" if kind == "secret" else 0)
+            stops = [stop]
+            if kind in ("card", "iban"):  # without its last groups
+                stops += [i for i in range(stop - 1, start, -1) if line[i] in " -"]
+            for stop in stops:
+                value = line[start:stop]
+                if not value.isascii() and kind not in ("email", "secret"):
+                    continue
+                if kind == "card" and sum(c.isdigit() for c in value) < 13:
+                    break
+                if valid(kind, value):
+                    return kind, start, stop
+    return None
+
+
 def pseudonymise(text: str, names: Pseudonyms, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its personal data replaced, and how many of each kind there were."""
     counts = dict.fromkeys(KINDS, 0)
     change = names.restore if back else names.replace
 
-    def swap(match: re.Match) -> str:
-        kind = next(k for k in KINDS if match[k] is not None)
-        whole = match[0]
-        value = match["value"] if kind == "secret" else whole
-        if not value.isascii() and kind not in ("email", "secret") or not valid(kind, value):
-            return whole
-        counts[kind] += 1
-        return whole[: len(whole) - len(value)] + change(kind, value)
+    def swap(line: str) -> str:
+        out, done, at = [], 0, 0
+        while match := _SEARCH.search(line, at):
+            at = match.start()
+            if found := value_at(line, at, next(k for k in _PATTERNS if match[k] is not None)):
+                kind, start, stop = found
+                counts[kind] += 1
+                out += [line[done:start], change(kind, line[start:stop])]
+                done = at = stop
+            else:
+                at += 1
+        return "".join([*out, line[done:]])
 
     lines = text.split("\n")
     for i, line in enumerate(lines):
         if _WORTH.search(line):
-            lines[i] = _SEARCH.sub(swap, line)
+            lines[i] = swap(line)
     return "\n".join(lines), counts
 
 
