@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.fixtures import empty_documents, odd_documents
+from tests.llm.fixtures import empty_documents, odd_documents, table
 from transferwatch.llm import pieces
 from transferwatch.llm.queries import QUERIES
 
@@ -68,3 +68,16 @@ def test_odd_cases(spark, model):
 def test_query_decodes_every_text(spark):
     rows = QUERIES["op2_sentencepiece_nbest"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(r.decoded and len(r.n_best_scores) == 4 for r in rows)
+
+
+def test_query_holds_every_segmentation(spark, model):
+    texts = {d["doc_id"]: d["text"] for d in table("documents")}
+    rows = QUERIES["op2_sentencepiece_nbest"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        options = [tuple(pieces.ids_of(row.ids, changes)) for changes in row.n_best_changes]
+        assert options[0] == tuple(row.ids) and len(set(options)) == len(options) == len(row.n_best_scores)
+        assert [len(ids) for ids in options] == row.n_best_pieces
+        for ids in options:
+            data, _ = model.decode(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))
+            assert data.tobytes().decode() == texts[row.doc_id]

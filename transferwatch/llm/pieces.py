@@ -361,7 +361,11 @@ class PieceModel:
         return best, loss, piece.astype(np.int32), who
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, n_best: int) -> dict:
-        """Segment a run of texts: best ids with offsets, and the scores of the N best."""
+        """Segment a run of texts: best ids with offsets, and the scores of the N best.
+
+        ``changes`` has for each text and option what differs from the best ids: from which place
+        on, how many of them, and the ids instead.
+        """
         n = len(offsets) - 1
         filled = np.diff(offsets) > 0
         marks = offsets[:-1][filled]
@@ -383,19 +387,26 @@ class PieceModel:
         text_first = np.searchsorted(starts, offsets)
         sizes = np.diff(first)[word]
         all_ids = ids[spans(first[:-1][word], sizes)]
-        id_offsets = np.concatenate([[0], np.cumsum(sizes)])[text_first]
+        word_at = np.concatenate([[0], np.cumsum(sizes)])
+        id_offsets = word_at[text_first]
         word_score, word_loss = score[word], loss[word]
         totals = np.concatenate([[0], np.cumsum(word_score)])
         totals = totals[text_first[1:]] - totals[text_first[:-1]]
-        options, words = [], []
+        options, words, changes = [], [], []
         for i in range(n):
             a, b = int(text_first[i]), int(text_first[i + 1])
             if n == 1:
                 words.append([ids[first[w] : first[w + 1]] for w in word[a:b]])
-            options.append(self._combine(data, starts, ends, word_loss, a, b, n_best))
-        return {"ids": all_ids, "offsets": id_offsets, "scores": totals, "options": options, "words": words}
+            options.append(self._combine(data, starts, ends, word_loss, a, b, n_best, lambda w: ids[first[w] : first[w + 1]], word))
+            changes.append(
+                [
+                    [(int(word_at[a + p] - word_at[a]), int(sizes[a + p]), list(new)) for p, new in changed]
+                    for _, _, changed in options[-1]
+                ]
+            )
+        return {"ids": all_ids, "offsets": id_offsets, "scores": totals, "options": options, "words": words, "changes": changes}
 
-    def _combine(self, data, starts, ends, loss, a, b, n_best) -> list[tuple[int, int, list]]:
+    def _combine(self, data, starts, ends, loss, a, b, n_best, best, word) -> list[tuple[int, int, list]]:
         """The N smallest losses of a text, the pieces they add, and the changed words.
 
         A changed word is its number in the text and its ids.
@@ -413,12 +424,18 @@ class PieceModel:
         words = [self.best_of(data[starts[a + p] : ends[a + p]].tobytes(), n_best) for p in near]
         if any(w.losses[1] != span[p] for w, p in zip(words, near, strict=True)):
             raise AssertionError("search and Viterbi disagree")
+        choices = []
+        for p, w in zip(near, words, strict=True):  # of equal segmentations the text's own comes first
+            found, own = list(w.ids), tuple(best(word[a + p]).tolist())
+            if own in found:
+                found[found.index(own)] = found[0]
+            choices.append([own, *found[1:]])
         heap = [(0, ())]
         out = []
         while heap and len(out) < n_best:
             total, changes = heapq.heappop(heap)
-            extra = sum(len(words[w].ids[c]) - len(words[w].ids[0]) for w, c in changes)
-            out.append((total, extra, [(near[w], words[w].ids[c]) for w, c in changes]))
+            extra = sum(len(choices[w][c]) - len(choices[w][0]) for w, c in changes)
+            out.append((total, extra, [(near[w], choices[w][c]) for w, c in changes]))
             last = changes[-1][0] if changes else -1
             if changes:  # the next choice for the last changed word
                 w, c = changes[-1]
@@ -452,7 +469,15 @@ class PieceModel:
         return np.delete(data, at[:-1][filled]), at - np.concatenate([[0], np.cumsum(filled)])
 
 
-ENCODED = "ids array<int>, n_pieces long, score double, n_best_scores array<double>, n_best_pieces array<long>, ids_crc32 long, decoded boolean"
+ENCODED = "ids array<int>, n_pieces long, score double, n_best_scores array<double>, n_best_pieces array<long>, n_best_changes array<array<struct<at:int,size:int,ids:array<int>>>>, ids_crc32 long, decoded boolean"
+
+
+def ids_of(ids: list[int], changes: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The ids of one of the N best, from those of the best and its ``n_best_changes``."""
+    out = list(ids)
+    for at, size, new in sorted(changes, reverse=True):
+        out[at : at + size] = new
+    return out
 
 
 def encode(
@@ -460,13 +485,14 @@ def encode(
 ) -> DataFrame:
     """The columns ``keep`` with each text's ids, score, and scores and sizes of its N best.
 
-    ``ids_crc32`` is the checksum of the ids as little-endian 32-bit numbers; ``decoded`` says
+    ``n_best_changes`` turns the ids into those of each of the N best (``ids_of``). ``ids_crc32`` is the checksum of the ids as little-endian 32-bit numbers; ``decoded`` says
     that decoding the ids gives the text back byte by byte.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or PieceModel.load())
     kept = [docs.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [ENCODED])
     names = keep + [c.split()[0] for c in ENCODED.split(", ")]
+    change = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
         model = sent.value
@@ -500,6 +526,13 @@ def encode(
                     pa.array(got["scores"] / SCALE, pa.float64()),
                     pa.array(best, pa.list_(pa.float64())),
                     pa.array(counts, pa.list_(pa.int64())),
+                    pa.array(
+                        [
+                            [[{"at": at, "size": n, "ids": new} for at, n, new in option] for option in options]
+                            for options in got["changes"]
+                        ],
+                        pa.list_(pa.list_(change)),
+                    ),
                     pa.array(crc, pa.int64()),
                     pa.array(same, pa.bool_()),
                 ]

@@ -45,7 +45,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
-    return pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"]).drop("ids")
+    return pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
