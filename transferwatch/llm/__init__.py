@@ -1,5 +1,5 @@
 """Operators for preparing training data for language models.
 
-Ten operators, each a module of its own with a general interface, and ``queries.py`` with one
+Thirteen operators, each a module of its own with a general interface, and ``queries.py`` with one
 ``opN_<name>`` query for each. Nothing else in the library imports this subpackage.
 """
