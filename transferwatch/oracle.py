@@ -565,6 +565,7 @@ SELECT event_id, user_id,
                        OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6, -1.0), 6)
          AS since_last
 FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)""",
+    "stream_features": select(window_columns()),
     "stream_request_metrics": (
         f"SELECT {WINDOW_START}, {REQUESTS} FROM events {CLOSED} GROUP BY date_trunc('hour', ts)"
     ),

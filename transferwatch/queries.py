@@ -22,6 +22,7 @@ from transferwatch.schema import AMOUNTS, ID, LABEL, RECEIVER, SENDER
 from transferwatch.session import ensure_checkpoint_dir, materialise, prepare
 from transferwatch.sources import artefacts, fixtures
 from transferwatch.streaming import jobs
+from transferwatch.streaming.history import mean_ratios, stream_history
 from transferwatch.streaming.velocity import stream_velocity, use_rocksdb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,6 +482,39 @@ def stream_velocity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Micro-batches that the transfers of a stream come in, one after the other in time.
+STREAM_BATCHES = 4
+
+
+def _as_they_come(rows: DataFrame, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The table a streaming job has written after rows came in ``STREAM_BATCHES`` steps of time.
+
+    The job is started anew for each step, from its checkpoint. Steps are cut between whole minutes.
+    """
+    spark = rows.sparkSession
+    folder = _scratch(spark, name)
+    first, last = rows.select(F.min(epoch_seconds("ts")), F.max(epoch_seconds("ts"))).first()
+    width = ((last or 0) - (first or 0)) // STREAM_BATCHES // 60 * 60 + 60
+    step = F.floor((epoch_seconds("ts") - (first or 0)) / width)
+    for i in range(STREAM_BATCHES):
+        rows.where(step == i).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.read_stream(spark, f"{folder}/in", rows.schema)
+        done = jobs.run_available(job(stream), f"{folder}/table", f"{folder}/checkpoint")
+    return done
+
+
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What accounts did before, from state carried over micro-batches."""
+    use_rocksdb(spark)
+    rows = _as_they_come(_tx(spark, sf_dir).drop(LABEL), stream_history, "features")
+    rows = rows.withColumns({k: v for side in (SENDER, RECEIVER) for k, v in mean_ratios(side).items()})
+    names = ["time_since_last_txn_{}", "txn_velocity_{}"]
+    for amount in AMOUNTS:
+        names += [f"rolling_std_{amount}_{{}}", f"rolling_avg_{amount}_{{}}", f"{amount}_to_avg_{{}}_ratio"]
+    wanted = [n.format(s.name) for s in (SENDER, RECEIVER) for n in names]
+    return shown(rows, *wanted, "rolling_unique_receivers_sender")
+
+
 def stream_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = jobs.stream_request_metrics(_event_stream(spark, sf_dir))
     rows = _finished(stream, spark, "requests")
@@ -591,6 +625,7 @@ QUERIES: dict[str, Query] = {
     "best_model": best_model,
     "score_batch": score_batch,
     "stream_velocity": stream_velocity_query,
+    "stream_features": stream_features,
     "stream_request_metrics": stream_request_metrics,
     "stream_prediction_metrics": stream_prediction_metrics,
     "stream_score": stream_score,
