@@ -15,6 +15,7 @@ ODD = [
     (7, "żółw 你好 " + "x" * 70 + " end", "pl", "c"),
     (8, "long " + " ".join(f"word{i % 4001}" for i in range(30_000)), "en", "c"),
     (9, "The  Apache License, and MIT license", "en", "c"),
+    (10, "plain words that follow one another " + " ".join(f"and{i} then{i}" for i in range(40)), "en", "c"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
