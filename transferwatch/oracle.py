@@ -566,6 +566,30 @@ SELECT event_id, user_id,
          AS since_last
 FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)""",
     "stream_features": select(window_columns()),
+    "stream_quality": f"""
+WITH pl AS (
+  SELECT date_trunc('hour', ts) AS hour, CAST(value > 50 AS INTEGER) AS prediction,
+         CASE WHEN event_type <> 'click' THEN CAST(event_type = 'error' AS INTEGER) END AS label
+  FROM events
+),
+settled AS (
+  SELECT least(max(ts), max(ts) FILTER (event_type <> 'click') + INTERVAL 5 MINUTE)
+         - INTERVAL 10 MINUTE - INTERVAL 6 HOUR AS until
+  FROM events
+),
+m AS (
+  SELECT hour, count(*) FILTER (prediction = 1 AND label = 1) AS tp,
+         count(*) FILTER (prediction = 1 AND label = 0) AS fp,
+         count(*) FILTER (prediction = 0 AND label = 0) AS tn,
+         count(*) FILTER (prediction = 0 AND label = 1) AS fn,
+         count(*) FILTER (label IS NULL) AS unlabelled
+  FROM pl WHERE hour + INTERVAL 1 HOUR <= (SELECT until FROM settled) GROUP BY hour
+),
+{QUALITY.split("),", 1)[1]}
+SELECT CAST(epoch(hour) AS BIGINT) AS window_start, tp, fp, tn, fn, unlabelled,
+       round(accuracy, 8) AS accuracy, round(precision, 8) AS precision,
+       round(recall, 8) AS recall, round(f1, 8) AS f1
+FROM q""",
     "stream_request_metrics": (
         f"SELECT {WINDOW_START}, {REQUESTS} FROM events {CLOSED} GROUP BY date_trunc('hour', ts)"
     ),

@@ -548,21 +548,31 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked_scores(spark.read.parquet(f"{folder}/table"))
 
 
+# How long the labels of logged predictions are waited for.
+LABEL_WAIT = "6 hours"
+
+
 def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of the scored table met by their labels, which come five minutes later."""
-    scored = _batch_scores(spark, sf_dir)
+    """Logged predictions met by their labels five minutes later; clicks never get one."""
+    events = _events(spark, sf_dir)
+    later = F.col("ts") + F.make_dt_interval(mins=F.lit(5))
+    parts = {
+        "predictions": events.select(
+            "event_id", (F.col("value") > 50).cast("int").alias("prediction"), "ts"
+        ),
+        "labels": events.where("event_type != 'click'").select(
+            "event_id", (F.col("event_type") == "error").cast("int").alias("label"), later.alias("ts")
+        ),
+    }
     folder = _scratch(spark, "quality-input")
-    late = F.col("ts") + F.make_dt_interval(mins=F.lit(5))
-    truth = _tx(spark, sf_dir).select(ID, F.col(LABEL).alias("label"), late.alias("ts"))
-    scored.select(ID, "prediction", "ts").write.parquet(f"{folder}/predictions")
-    truth.write.parquet(f"{folder}/labels")
-    streams = [
-        jobs.read_stream(spark, path, spark.read.parquet(path).schema)
-        for path in (f"{folder}/predictions", f"{folder}/labels")
-    ]
-    rows = _finished(jobs.stream_quality(*streams), spark, "quality")
+    streams = []
+    for name, rows in parts.items():
+        rows.write.parquet(f"{folder}/{name}")
+        streams.append(jobs.read_stream(spark, f"{folder}/{name}", rows.schema))
+    rated = jobs.stream_quality(*streams, unique="event_id", wait=LABEL_WAIT)
+    rows = _finished(rated, spark, "quality")
     rows = rows.withColumn("window_start", epoch_seconds("window_start"))
-    return shown(rows, "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1",
+    return shown(rows, "tp", "fp", "tn", "fn", "unlabelled", "accuracy", "precision", "recall", "f1",
                  keys=["window_start"])
 
 
