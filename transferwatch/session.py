@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the time zone (calendar parts depend on it) and make checkpoints possible."""
+    """Pin the time zone (calendar parts depend on it), make checkpoints possible, ship this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python code imports it."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        _shipped.add(application)
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="transferwatch-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     context = spark.sparkContext
