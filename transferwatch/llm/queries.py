@@ -5,10 +5,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +31,9 @@ from transferwatch.session import prepare
 # Rows that Spark hands to Python at once: with texts of some kB, a few MB on either side.
 BATCH_ROWS = "1000"
 
-_SHIPPED: set[str] = set()
-
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Prepare the session, bound what tasks hand to Python, and send this package to the executors."""
-    application = spark.sparkContext.applicationId
-    if application not in _SHIPPED:
-        _SHIPPED.add(application)
-        package = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="transferwatch-package-")) / package.name
-        spark.sparkContext.addPyFile(
-            shutil.make_archive(str(target), "zip", package.parent, package.name)
-        )
+    """Prepare the session and bound what tasks hand to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return prepare(spark)
 
