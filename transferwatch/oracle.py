@@ -452,6 +452,19 @@ SELECT doc_id, quality, in_part FROM parted""",
     "unique_counterparties": _per_side(unique_others),
     "recency_sender": select([recency("sender")]),
     "recency_receiver": select([recency("receiver")]),
+    "interval_pairs": f"""
+WITH {TX}
+SELECT a.txn_id, b.txn_id AS matched
+FROM t a JOIN t b ON a.account_1 = b.account_1 AND b.sec BETWEEN a.sec - 3600 AND a.sec""",
+    "distinct_sketches": f"""
+WITH {TX}
+SELECT account, count(DISTINCT account_1) AS n_exact, count(*) AS transfers, TRUE AS within_bound
+FROM t GROUP BY account""",
+    "quartile_sketches": """
+SELECT a.name AS column, q.share, TRUE AS within_error
+FROM (VALUES ('amount_received'), ('amount_paid')) AS a(name),
+     (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) AS q(share)""",
+    "time_order": select(["row_number() OVER (ORDER BY ts, txn_id) AS place"]),
     **{f"fraud_rate_by_{p}": fraud_rate_by(p) for p in PERIODS},
     "high_risk_periods": select(
         [mean_label(p, f"fraud_rate_by_{p}") for p in PERIODS]
@@ -538,7 +551,9 @@ SELECT model, round(objective, 8) AS objective FROM scored ORDER BY objective DE
     **{
         name: f"""
 WITH {TX},{SPLIT}
-SELECT txn_id, TRUE AS in_range, TRUE AS class_fits, TRUE AS confidence_fits FROM prod"""
+SELECT txn_id, TRUE AS walk_fits, TRUE AS vote_fits, TRUE AS probability_fits, TRUE AS class_fits,
+       TRUE AS confidence_fits
+FROM prod"""
         for name in ("score_batch", "stream_score")
     },
     "confusion_matrix": f"WITH {PL}, {QUALITY} SELECT tp, fp, tn, fn FROM m",
@@ -566,6 +581,9 @@ SELECT event_id, user_id,
          AS since_last
 FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)""",
     "stream_features": select(window_columns()),
+    "stream_latency_last_1000": """
+SELECT count(*) AS n_recent, round(avg(value), 8) AS average_value
+FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)""",
     "stream_quality": f"""
 WITH pl AS (
   SELECT date_trunc('hour', ts) AS hour, CAST(value > 50 AS INTEGER) AS prediction,

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transferwatch.functions import calendar_parts, epoch_seconds, objective, parse_timestamp
-from transferwatch.operators import amounts, calendar, cleaning, encoders, history, monitoring
+from transferwatch.operators import amounts, calendar, cleaning, encoders, history, monitoring, sketches
+from transferwatch.operators.intervals import interval_matches
+from transferwatch.operators.ordering import time_ordered
 from transferwatch.operators.records import align, coerce_numeric, require_manifest, typed_records
 from transferwatch.plans import learning, pipeline
 from transferwatch.plans.features import RiskFeatures, RiskFeaturesModel
@@ -23,6 +25,7 @@ from transferwatch.session import ensure_checkpoint_dir, materialise, prepare
 from transferwatch.sources import artefacts, fixtures
 from transferwatch.streaming import jobs
 from transferwatch.streaming.history import mean_ratios, stream_history
+from transferwatch.streaming.recent import stream_recent_average
 from transferwatch.streaming.velocity import stream_velocity, use_rocksdb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +163,40 @@ def _side_query(wanted: str, *names: str, sides=(SENDER, RECEIVER)) -> Query:
     return query
 
 
+def interval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each transfer with its receiver's transfers of the hour before it."""
+    return interval_matches(_tx(spark, sf_dir), RECEIVER)
+
+
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct receivers of each sender, and whether merged sketches of days come near them."""
+    rows = _tx(spark, sf_dir)
+    days = [sketches.distinct_sketch(rows.where(F.dayofmonth("ts") % 3 == i), SENDER) for i in range(3)]
+    merged = sketches.merged_distinct(reduce(DataFrame.unionByName, days), SENDER)
+    guessed = sketches.estimated_distinct(merged, SENDER).withColumnRenamed(SENDER.unique_others, "guess")
+    exact = rows.select(SENDER.key, SENDER.other).distinct().groupBy(SENDER.key)
+    exact = exact.agg(F.count(SENDER.other).alias("n_exact"))
+    error = F.abs(F.col("guess") - F.col("n_exact")) / F.greatest(F.col("n_exact"), F.lit(1))
+    return guessed.join(exact, SENDER.key).select(
+        SENDER.key, "n_exact", "transfers", (error <= sketches.DISTINCT_ERROR).alias("within_bound")
+    )
+
+
+def quartile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of the amounts from merged sketches of banks: is their exact rank within the error?"""
+    rows = _tx(spark, sf_dir)
+    merged = sketches.merged_quantiles(sketches.quantile_sketch(rows, by=["from_bank"]))
+    ranks = sketches.ranks_of(rows, sketches.quartiles(merged))
+    close = (F.col("below") - sketches.RANK_ERROR <= F.col("share")) & (
+        F.col("share") <= F.col("upto") + sketches.RANK_ERROR
+    )
+    return ranks.select("column", "share", close.alias("within_error"))
+
+
+def time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_ordered(_tx(spark, sf_dir)).select(ID, "place")
+
+
 # -- calendar -----------------------------------------------------------------------------------
 
 
@@ -375,7 +412,8 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- learning -----------------------------------------------------------------------------------
 
-SETTINGS = learning.Settings()
+# Fewer rounds than usual: over tables this small a pass costs what starting a job costs.
+SETTINGS = learning.Settings(rounds=30)
 _runs: dict[tuple[str, str], str] = {}
 
 
@@ -433,24 +471,41 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(table, "objective", keys=["model"])
 
 
-def _checked_scores(scored: DataFrame) -> DataFrame:
-    """What must hold for every scored transfer, whatever the model."""
-    chance = F.col("probability")
-    return scored.select(
+def _checked_scores(scored: DataFrame, features: DataFrame, run: str) -> DataFrame:
+    """Scores against what the saved trees give when walked node by node, and its mean and class."""
+    spark = scored.sparkSession
+    manifest = artefacts.read_manifest(spark, f"{run}/manifest")
+    trained = learning.TrainedModels.load(spark, f"{run}/model")
+    given = trained.probabilities(features, manifest).select(ID, *learning.MODELS)
+    names = {m: f"walked_{m}" for m in learning.MODELS}
+    walked = learning.walked_probabilities(features, manifest, f"{run}/model")
+    walked = walked.select(ID, *[F.col(m).alias(n) for m, n in names.items()])
+    rows = scored.join(given, ID).join(walked, ID)
+
+    def near(a: Column, b: Column) -> Column:
+        return F.coalesce(F.abs(a - b) < 1e-9, F.lit(False))
+
+    best = F.col(names[trained.best])
+    third = reduce(lambda a, b: a + b, [F.col(names[m]) for m in learning.MEMBERS]) / 3
+    likelier = F.when(best > F.lit(0.5), 1).otherwise(0)
+    members = [near(F.col(m), F.col(names[m])) for m in learning.MEMBERS]
+    return rows.select(
         ID,
-        chance.between(0, 1).alias("in_range"),
-        (F.col("prediction") == (chance > 0.5).cast("int")).alias("class_fits"),
-        (F.abs(F.col("confidence") - F.greatest(chance, 1 - chance)) < 1e-12).alias("confidence_fits"),
+        reduce(lambda a, b: a & b, members).alias("walk_fits"),
+        near(F.col(learning.ENSEMBLE), third).alias("vote_fits"),
+        near(F.col("probability"), best).alias("probability_fits"),
+        (F.col("prediction") == likelier).alias("class_fits"),
+        near(F.col("confidence"), F.when(best > F.lit(0.5), best).otherwise(1 - best)).alias("confidence_fits"),
     )
 
 
-def _batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return pipeline.predict_batch(spark, _training_run(spark, sf_dir))
-
-
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checked_scores(_batch_scores(spark, sf_dir))
+    prepare(spark)
+    out = _training_run(spark, sf_dir)
+    scored = pipeline.predict_batch(spark, out)
+    run = pipeline.current_run(spark, out)
+    features = spark.read.parquet(f"{run}/production_features_batch")
+    return _checked_scores(scored, features, run)
 
 
 # -- streaming ----------------------------------------------------------------------------------
@@ -530,8 +585,20 @@ def stream_prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(rows, "n", "average_latency", keys=["window_start", "event_type"])
 
 
+def stream_latency_last_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the last 1000 values, as it stands when all events have come in steps."""
+    use_rocksdb(prepare(spark))
+
+    def job(stream: DataFrame) -> DataFrame:
+        return stream_recent_average(stream, "value")
+
+    rows = _as_they_come(_events(spark, sf_dir), job, "recent")
+    last = rows.orderBy(F.desc("step")).limit(1)
+    return shown(last, "average_value", keys=["n_recent"])
+
+
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    use_rocksdb(prepare(spark))
     run = pipeline.current_run(spark, _training_run(spark, sf_dir))
     stream = jobs.read_stream(
         spark, f"{run}/production", spark.read.parquet(f"{run}/production").schema
@@ -545,7 +612,10 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{folder}/checkpoint",
     )
     query.awaitTermination()
-    return _checked_scores(spark.read.parquet(f"{folder}/table"))
+    # The batch features with frozen frequencies are what the stream must have seen.
+    pipeline.predict_batch(spark, _training_run(spark, sf_dir), "frozen")
+    features = spark.read.parquet(f"{run}/production_features_frozen")
+    return _checked_scores(spark.read.parquet(f"{folder}/table"), features, run)
 
 
 # How long the labels of logged predictions are waited for.
@@ -593,6 +663,10 @@ QUERIES: dict[str, Query] = {
     "unique_counterparties": unique_counterparties,
     "recency_sender": _side_query(history.RECENCY, "time_since_last_txn_{}", sides=[SENDER]),
     "recency_receiver": _side_query(history.RECENCY, "time_since_last_txn_{}", sides=[RECEIVER]),
+    "interval_pairs": interval_pairs,
+    "distinct_sketches": distinct_sketches,
+    "quartile_sketches": quartile_sketches,
+    "time_order": time_order,
     "fraud_rate_by_day": _fraud_rate_by("day"),
     "fraud_rate_by_hour": _fraud_rate_by("hour"),
     "fraud_rate_by_minute": _fraud_rate_by("minute"),
@@ -638,6 +712,7 @@ QUERIES: dict[str, Query] = {
     "stream_features": stream_features,
     "stream_request_metrics": stream_request_metrics,
     "stream_prediction_metrics": stream_prediction_metrics,
+    "stream_latency_last_1000": stream_latency_last_1000,
     "stream_score": stream_score,
     "stream_quality": stream_quality,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import threading
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,6 +54,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def carried_along() -> Iterator[None]:
+    """Python code of this package that a plan built inside holds travels with the plan itself.
+
+    Streams run in sessions of their own, which do not see files sent to the executors by :func:`ship`.
+    """
+    package = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
 class _Open(threading.local):
     """Folders written since each open ``scratch`` of this thread began, the innermost last."""
 
