@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from hypothesis import given
@@ -124,3 +125,32 @@ def test_odd_cases(spark):
     assert pii.report(empty_documents(spark)).count() == 0
     card = spark.createDataFrame([(1, "4111111111111111"), (1, "4111111111111111")], "doc_id long, text string")
     assert len({r.text for r in pii.report(card).collect()} - {"4111111111111111"}) == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" * 1_000_000, "a.b-" * 250_000, "x@" + "y" * 1_000_000, "7" * 1_000_000, "@" * 1_000_000,
+     "password=" + "k" * 1_000_000, "b" * 1_000_000 + "@mail.example.com", "password " * 100_000,
+     "1-" * 30_000, "AA11 " * 30_000],
+    ids=lambda t: t[:12],
+)
+def test_time_grows_with_the_length(text):
+    """Up to a megabyte in one line takes seconds; it took hours where every start was read to the end."""
+    started = time.process_time()
+    after, _ = pii.pseudonymise(text, NAMES)
+    assert time.process_time() - started < 20
+    assert len(after) == len(text)
+
+
+def test_long_values_turn_back():
+    for text in ("password=" + "Ab3-" * 300, "é.Bob" * 400 + "@mail.example.com"):
+        after, counts = pii.pseudonymise(text, NAMES)
+        assert sum(counts.values()) == 1 and after != text
+        assert pii.pseudonymise(after, NAMES, back=True)[0] == text
+
+
+def test_dates_before_times():
+    after, counts = pii.pseudonymise("at 2021-03-05T10:00:00Z, 2021-03-05 and 2021-03-05Tx", NAMES)
+    day = NAMES.replace("date", "2021-03-05")
+    assert after == f"at {day}T10:00:00Z, {day} and 2021-03-05Tx"
+    assert counts["date"] == 2

@@ -12,7 +12,7 @@ different ones, and whoever holds the key can turn them back (``Pseudonyms.resto
 | ssn | ``ddd-dd-dddd`` with a valid area, group and serial | all three parts, within their ranges |
 | phone | ``+1 (ddd) ddd-dddd`` and its usual layouts, also without the 1; + and 8 to 15 digits | all digits but the country code |
 | ip | four parts up to 255 | the 32 bits |
-| date | existing days 1900 to 2099 in three layouts | the day |
+| date | existing days 1900 to 2099 in three layouts, also before a time (``T10:00``) | the day |
 | email | local part, at sign, domain | the local part's letters and digits, by class |
 | secret | a value assigned to password, token, secret, key | its letters and digits, by class |
 
@@ -20,7 +20,8 @@ A card or iban that fails its check is tried again without its last groups, then
 start: a number beside it hides no value. What still fails stays as it is. Equal values get equal
 pseudonyms whatever stands beside them, so in rare cases a pseudonym and digits beside it pass
 a check together; such a value is turned back by ``restore`` rather than by reading the text. Null and empty texts stay as they are. Whole texts are read,
-line by line, however long. Other columns are handed through, whatever their names.
+line by line, however long, in time that grows with their length: an address is looked for only where its local
+part begins, and local parts and secrets of more than ``PIECE`` characters are permuted piece by piece. Other columns are handed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from transferwatch.llm.arrays import column_bytes
 
 ROUNDS = 10
+# Characters that are permuted as one number.
+PIECE = 256
 # For trials only: a real key comes from the caller's secret store.
 DEMO_KEY = b"demonstration key, replace it"
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
@@ -57,14 +60,15 @@ _SHAPES = (*_ALPHABETS, *_HEX)
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 
 _PATTERNS = {
-    "email": r"[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b)"
     r"(?P<gap>\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,})",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])(?:\+?1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
     r"|(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!-?\w)"
     r"|\+[1-9](?:[ .\-]?\(?\d\)?){7,14}(?!\d))",
-    "date": r"(?<![\w.\-/])(?:(?P<iso>\d{4}-\d{2}-\d{2})|(?P<us>\d{2}/\d{2}/\d{4})|(?P<dot>\d{2}\.\d{2}\.\d{4}))(?![\w\-/])",
+    "date": r"(?<![\w.\-/])(?:(?P<iso>\d{4}-\d{2}-\d{2})(?=T\d\d:|(?![\w\-/]))"
+    r"|(?:(?P<us>\d{2}/\d{2}/\d{4})|(?P<dot>\d{2}\.\d{2}\.\d{4}))(?![\w\-/]))",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "card": r"(?<!\w)\d(?:[ \-]?\d){12,18}(?!\w)",
@@ -190,7 +194,11 @@ class Pseudonyms:
 
     def _by_class(self, text: str, kind: str, back: bool) -> str:
         """Permute the characters that belong to a class, each within its class, all as one number."""
-        hexadecimal = next((a for a in _HEX if kind == "secret" and all(c in a for c in text)), None)
+        if len(text) > PIECE:
+            pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+            return "".join(self._by_class(p, f"{kind}/{i}", back) for i, p in enumerate(pieces))
+        secret = kind.startswith("secret")
+        hexadecimal = next((a for a in _HEX if secret and all(c in a for c in text)), None)
         classes = [hexadecimal or _CLASS.get(c) for c in text]
         value, size = 0, 1
         for c, alphabet in zip(text, classes, strict=True):
