@@ -39,9 +39,10 @@ def pfair_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_nbest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the scores of its best segmentations."""
+    """Token ids of each document, with the scores of its best segmentations and its place in the mixture."""
     ready(spark)
-    return pieces.encode(docs, ["doc_id", "lang", "source"])
+    placed = mixing.with_positions(docs)
+    return pieces.encode(placed, ["doc_id", "lang", "source", "position"])
 
 
 STAGES: list[tuple[str, Stage]] = [

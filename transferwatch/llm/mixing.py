@@ -19,10 +19,12 @@ from __future__ import annotations
 import heapq
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from transferwatch.llm.tables import ranked
+from transferwatch.llm.tables import ranked, small, written_and_counted
 from transferwatch.session import materialise
 
 BLOCK_ROWS = 16
@@ -175,3 +177,28 @@ def in_mixture_order(docs: DataFrame, **options) -> DataFrame:
     mixed = materialise(mix(renamed, by=by, order=order, **options).select(*renamed.columns, "position"))
     ordered = mixed.repartitionByRange("position").sortWithinPartitions("position")
     return ordered.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
+def with_positions(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs``, read from files, with each row's place from 0 in the order in which the files were written.
+
+    A written table keeps the order of its partitions in its files' numbers and that of rows in the files;
+    reading it again mixes them up. A table that was not read from files has no order: null.
+    """
+    try:
+        placed = docs.select(
+            "*",
+            F.col("_metadata.file_path").alias("_mixed_file"),
+            F.col("_metadata.row_index").alias("_mixed_row"),
+        )
+    except AnalysisException:
+        return docs.withColumn(name, F.lit(None).cast("long"))
+    number = F.regexp_extract("_mixed_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    sizes = placed.groupBy("_mixed_file").agg((F.max("_mixed_row") + 1).alias("_n"))
+    before = W.orderBy(number, "_mixed_file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
+    starts, files = written_and_counted(
+        sizes.select("_mixed_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_mixed_start"))
+    )
+    joined = placed.join(small(starts, files), "_mixed_file", "left")
+    place = F.col("_mixed_start") + F.col("_mixed_row")
+    return joined.withColumn(name, place).select(*docs.columns, name)
