@@ -37,7 +37,13 @@ def time_ordered(df: DataFrame, time: str = TIME, unique: str = ID, rank: str =
     return joined.withColumn(rank, place).select(*df.columns, rank)
 
 
-def write_time_ordered(df: DataFrame, path: str, time: str = TIME, unique: str = ID) -> None:
-    """Files that each hold a range of time in order: a filter on ``time`` skips the others."""
-    sorted_rows = df.repartitionByRange(time, unique).sortWithinPartitions(time, unique)
+def write_time_ordered(
+    df: DataFrame, path: str, time: str = TIME, unique: str = ID, files: int | None = None
+) -> None:
+    """Files that each hold a range of time in order: a filter on ``time`` skips the others.
+
+    Their number is ``files`` or follows the size of the table.
+    """
+    number = (files,) if files else ()
+    sorted_rows = df.repartitionByRange(*number, time, unique).sortWithinPartitions(time, unique)
     sorted_rows.write.mode("overwrite").parquet(path)

@@ -517,6 +517,7 @@ FROM events""",
 WITH {TX},{SPLIT}
 SELECT 'success' AS status, 'training' AS mode, 'queries' AS build_id, 'latest' AS model_version,
        CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS rejected,
+       (SELECT CAST(count(*) FILTER (is_laundering IS NULL) AS VARCHAR) FROM t) AS missing,
        (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM prod) AS n_production,
        (SELECT count(*) FROM train) AS n_features""",
     "model_compare": f"""
