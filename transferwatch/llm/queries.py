@@ -25,6 +25,7 @@ from transferwatch.llm import (
     sharding,
     vectorcodes,
 )
+from transferwatch.llm.oracle import ORACLES as ORACLES
 from transferwatch.llm.tables import read
 from transferwatch.session import prepare
 
@@ -125,5 +126,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_vector_codes": op12_vector_codes,
     "op13_chat_windows": op13_chat_windows,
 }
-
-ORACLES: dict[str, str] = {}
