@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+
 from tests.llm.fixtures import empty_documents, lower, odd_documents, table
 from transferwatch.llm import licenses
+from transferwatch.llm.arrays import Texts
 from transferwatch.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -21,13 +24,19 @@ def brute(text):
                 starts.append(i)
                 base.add(label)
                 best = 1.0
-    for label, template in licenses.TEMPLATES:
+    runs = 0
+    for label, template, needs, without in licenses.TEMPLATES:
         size, tokens = len(words(template)), set(words(template))
-        for start in range(0, max(len(own), 1), size):
-            common = len(tokens & set(own[start : start + 2 * size]))
-            if 100 * common >= 80 * len(tokens):
+        reach, matched = size if size < 5 else 2 * size, False
+        for start in range(len(own)):
+            block = set(own[start : start + reach])
+            common = len(tokens & block)
+            match = 100 * common >= 80 * len(tokens) and block >= set(needs.split()) and not block & set(without.split())
+            if match:
                 labels.add(label)
                 best = max(best, common / len(tokens))
+            runs += match and not matched
+            matched = match
     joined = ",".join
     return (
         len(own),
@@ -37,6 +46,7 @@ def brute(text):
         joined(sorted(base)),
         joined(sorted(base | labels)),
         round(best, 9),
+        runs,
     )
 
 
@@ -49,6 +59,7 @@ def flat(row):
         row.base_labels,
         row.labels,
         round(row.score, 9),
+        row.n_blocks,
     )
 
 
@@ -65,7 +76,7 @@ def test_damaged_templates_equal_brute_force(spark):
     for i in range(120):
         own = rng.choices(filler, k=rng.randrange(0, 120))
         for _ in range(2):
-            notice = words(rng.choice(licenses.TEMPLATES)[1])
+            notice = words(rng.choice(licenses.TEMPLATES).text)
             for _ in range(rng.randrange(6)):
                 notice[rng.randrange(len(notice))] = rng.choice(filler)
             at = rng.randrange(len(own) + 1)
@@ -77,6 +88,35 @@ def test_damaged_templates_equal_brute_force(spark):
         assert flat(row) == brute(docs[row.doc_id][1])
 
 
+def labels_of(texts):
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES, licenses.THRESHOLD)
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([0, *map(len, raw)])
+    return scanner.scan(Texts(np.frombuffer(b"".join(raw), np.uint8), ends, lower=True))["labels"]
+
+
+def test_a_notice_is_found_wherever_it_starts():
+    notice = words("This work is licensed under the GNU General Public License, version 3")
+    spread = [w for word in notice for w in (word, "filler")][:-1]
+    texts = [" ".join(["x"] * k + spread + ["y"] * 40) for k in range(2 * len(spread))]
+    assert labels_of(texts) == ["gpl-3.0"] * len(texts)
+
+
+def test_sister_licenses_are_told_apart():
+    expected = {
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Released under the Apache License": "apache",
+        "This work is licensed under the GNU General Public License, version 2": "gpl",
+        "This work is licensed under the GNU Lesser General Public License, version 3": "",
+        licenses.TEMPLATES[7].text: "gpl",
+        licenses.TEMPLATES[8].text: "lgpl",
+        "all the human rights reserved": "",
+        "All rights reserved": "all-rights-reserved",
+    }
+    assert dict(zip(expected, labels_of(list(expected)), strict=True)) == expected
+
+
 def test_odd_cases(spark):
     docs = odd_documents(spark)
     assert sorted(map(repr, map(flat, licenses.scan(docs).collect()))) == sorted(

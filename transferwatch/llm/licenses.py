@@ -2,23 +2,28 @@
 
 Base labels come from places where a phrase's words stand one after the other. The method's labels
 come from a set-similarity join between blocks of text and license templates: a block matches when
-it holds at least ``THRESHOLD`` of a template's distinct words. Blocks of a template of ``m`` words
-are the runs of ``2 m`` words that start at every ``m``-th word of a text, so any ``m`` neighbouring
-words lie in one block.
+it holds at least ``THRESHOLD`` of a template's distinct words, all words that tell the license from
+its sisters (``needs``) and none that belongs to a sister only (``without``). Blocks of a template of
+``m`` words are all runs of ``2 m`` words, wherever they start (of ``m`` words for templates of fewer
+than five: so few words mean something only together).
 
 The join is exact. Words are ordered by how often they occur in all documents, rarest first. A
 block that matches must hold one of the first ``|T| - ceil(t |T|) + 1`` words of the template
-(prefix filter), enough words (length filter), and as many of those first words as leave the rest
-enough to reach the threshold (positional filter). What is left is counted out.
+(prefix filter), the text must have enough words (length filter), and only words that share a block
+with one of those first words are looked at (positional filter). The distinct words of all blocks
+around such places are counted at once: a word counts for the starts from which a block reaches it
+and not the same word before it, so counts are running sums over where these ranges begin and end.
 
 Defined results: null and empty texts have no words, no labels and score 0. A repeated row is
 scanned again. The score is the largest containment of a matching block, 1 if a phrase is found.
+``n_blocks`` counts, over templates, the unbroken runs of starts whose blocks match.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +39,38 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
+
+
+class Notice(NamedTuple):
+    """A template's label and text, the words a block must hold and those it must not."""
+
+    label: str
+    text: str
+    needs: str = ""
+    without: str = ""
+
+
 # Notices that licenses ask for, or their opening words.
 TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("all-rights-reserved", "All rights reserved"),
+    Notice("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2"),
+    Notice("apache-2.0", "you may not use this file except in compliance with the License", "compliance license"),
+    Notice("mit", "Released under the MIT License", "mit"),
+    Notice("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "obtaining"),
+    Notice("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "fee"),
+    Notice("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
+    Notice("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu general 3", "lesser affero"),
+    Notice("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general", "lesser affero"),
+    Notice("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lesser"),
+    Notice("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2"),
+    Notice("cc-by-nc", "Licensed under CC BY-NC 4.0", "nc"),
+    Notice("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution", "noncommercial"),
+    Notice("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
+    Notice("all-rights-reserved", "All rights reserved"),
 ]
 # Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
+# Templates of fewer words are looked for in blocks of their own length.
+SHORT = 5
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string,"
     " labels string, score double, n_blocks long"
@@ -70,31 +88,47 @@ def split(words: Words, values: np.ndarray) -> list[np.ndarray]:
     return np.split(values, words.first[1:-1])
 
 
+def near(places: np.ndarray, hits: np.ndarray, reach: int) -> np.ndarray:
+    """Which sorted places are fewer than ``reach`` words from one of the sorted ``hits``."""
+    if not len(hits):
+        return np.zeros(len(places), dtype=bool)
+    after = np.searchsorted(hits, places)
+    right = hits[np.minimum(after, len(hits) - 1)]
+    left = hits[np.maximum(after - 1, 0)]
+    return (np.abs(right - places) < reach) | (np.abs(left - places) < reach)
+
+
 @dataclass
 class Template:
     label: str
-    words: int
+    block: int
     tokens: np.ndarray
     need: int
+    needed: np.ndarray
+    unwanted: np.ndarray
     prefix: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
 
 class Scanner:
     """Phrases and templates as numbers, with the templates' words in global order."""
 
-    def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]], threshold: float):
-        self.labels = sorted({*phrases.values(), *(label for label, _ in templates)})
+    def __init__(self, phrases: dict[str, str], templates: list[Notice], threshold: float):
+        self.labels = sorted({*phrases.values(), *(t.label for t in templates)})
         spoken = as_words(list(phrases))
         self.phrases = list(zip(phrases.values(), split(spoken, spoken.hashes()), strict=True))
-        written = as_words([text for _, text in templates])
+        written = as_words([text for t in templates for text in (t.text, t.needs, t.without)])
         hashes = written.hashes()
         self.vocabulary = np.unique(hashes)
         places = split(written, np.searchsorted(self.vocabulary, hashes))
         self.templates = []
-        for (label, _), own in zip(templates, places, strict=True):
+        for i, notice in enumerate(templates):
+            own, needed, unwanted = places[3 * i : 3 * i + 3]
             tokens = np.unique(own)
+            if not np.isin(needed, tokens).all() or np.isin(unwanted, tokens).any():
+                raise ValueError(f"{notice.label}: words needed must be the template's own, unwanted ones not")
+            block = len(own) * (1 if len(own) < SHORT else 2)
             need = math.ceil(round(threshold * len(tokens), 9))
-            self.templates.append(Template(label, len(own), tokens, need))
+            self.templates.append(Template(notice.label, block, tokens, need, np.unique(needed), np.unique(unwanted)))
         self.order_by(np.zeros(len(self.vocabulary)))
 
     def order_by(self, frequency: np.ndarray) -> None:
@@ -124,32 +158,46 @@ class Scanner:
     def matching_blocks(
         self, words: Words, known: np.ndarray
     ) -> list[tuple[str, np.ndarray, np.ndarray]]:
-        """Per template: its label, the matching blocks' texts, and their containment."""
+        """Per template: its label, the texts of its runs of matching blocks, and their best containment."""
         owner, out = words.owner, []
+        size = len(self.vocabulary) + 1
         for t in self.templates:
-            early = np.zeros(len(self.vocabulary) + 1, dtype=bool)
-            early[t.prefix] = True
-            hits = np.flatnonzero(early[known])
-            # A word at place p of its text is in blocks p // m and p // m - 1.
-            place = (hits - words.first[owner[hits]]) // t.words
-            block = np.stack([np.concatenate([owner[hits]] * 2), np.concatenate([place, place - 1])])
-            block = np.unique(block[:, block[1] >= 0], axis=1)
-            found, share = [], []
-            for text, number in block.T.tolist():
-                start = words.first[text] + number * t.words
-                inside = known[start : min(start + 2 * t.words, words.first[text + 1])]
-                if len(inside) < t.need:
-                    continue
-                distinct = np.unique(inside)
-                if early[distinct].sum() + len(t.tokens) - len(t.prefix) < t.need:
-                    continue
-                common = np.isin(t.tokens, distinct).sum()
-                if common >= t.need:
-                    found.append(text)
-                    share.append(common / len(t.tokens))
-            out.append((t.label, np.array(found, dtype=np.int64), np.array(share)))
+            kind = np.zeros(size, dtype=np.int8)
+            kind[t.tokens], kind[t.unwanted], kind[t.prefix] = 1, 1, 2
+            places = np.flatnonzero(kind[known])
+            hits = places[kind[known[places]] == 2]
+            hits = hits[words.counts[owner[hits]] >= t.need]
+            places = places[near(places, hits, t.block)]
+            out.append((t.label, *self.runs(t, places, words, known)))
         return out
 
+    @staticmethod
+    def runs(t: Template, places: np.ndarray, words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and best containment of the runs of starts whose blocks match, from the template's words."""
+        tokens, text = known[places], words.owner[places]
+        by_word = np.lexsort((places, tokens, text))
+        before = np.full(len(places), -1)
+        same = (tokens[by_word[1:]] == tokens[by_word[:-1]]) & (text[by_word[1:]] == text[by_word[:-1]])
+        before[by_word[1:][same]] = places[by_word[:-1][same]]
+        start = np.maximum(np.maximum(places - t.block + 1, before + 1), words.first[text])
+        # Three counts in one number: words of the template, words needed, words unwanted.
+        weight = np.where(np.isin(tokens, t.unwanted), 1 << 40, 1 + (np.isin(tokens, t.needed) << 20))
+        at = np.concatenate([start, places + 1])
+        order = np.argsort(at, kind="stable")
+        at, change = at[order], np.concatenate([weight, -weight])[order]
+        last = np.flatnonzero(np.append(at[1:] != at[:-1], len(at) > 0))
+        at, held = at[last], np.cumsum(change)[last]
+        common = held & 0xFFFFF
+        good = (common >= t.need) & (held >> 20 == len(t.needed))
+        # Runs end where a block does not match and where a text ends.
+        of_text = words.owner[np.minimum(at, max(len(words.owner) - 1, 0))] if len(at) else at
+        begins = good & ~np.append(False, good[:-1] & (of_text[1:] == of_text[:-1]))[: len(good)]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return np.empty(0, np.int64), np.empty(0)
+        best = np.maximum.reduceat(np.where(good, common, 0), starts)
+        return of_text[starts], best / len(t.tokens)
+
     def scan(self, texts: Texts) -> dict[str, list | np.ndarray]:
         n = len(texts)
         words = texts.words(ALPHANUMERIC)
@@ -205,7 +253,7 @@ def word_frequencies(docs: DataFrame, scanner: Scanner) -> np.ndarray:
 def scan(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[Notice] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Base and template labels of every row of ``docs (doc_id, text)``."""
