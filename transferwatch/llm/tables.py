@@ -37,18 +37,25 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def dense_sums(
-    df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]], chunk: int = 4096
+    df: DataFrame,
+    count: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray] | Iterator[dict[str, np.ndarray]]],
+    chunk: int = 4096,
 ) -> DataFrame:
     """Add up large arrays of counts over all tasks.
 
-    ``count`` makes from a task's batches named arrays of numbers. Each is cut into pieces of
-    ``chunk`` numbers; equal pieces of all tasks meet in one task, which adds them one by one.
+    ``count`` makes from a task's batches named arrays of numbers, all at once or some at a time. Each
+    is cut into pieces of ``chunk`` numbers; equal pieces of all tasks meet in one task, which adds them one by one.
     Returns ``(name, piece, total array<double>)``; pieces nowhere above zero are left out.
     """
 
     def emit(batches):
+        counted = count(batches)
+        for arrays in [counted] if isinstance(counted, dict) else counted:
+            yield from cut(arrays)
+
+    def cut(arrays):
         names, pieces, values = [], [], []
-        for name, array in count(batches).items():
+        for name, array in arrays.items():
             for piece in range(0, len(array), chunk):
                 part = np.asarray(array[piece : piece + chunk], dtype=np.float64)
                 if part.any():
