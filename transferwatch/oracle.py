@@ -472,6 +472,7 @@ FROM (VALUES ('amount_received'), ('amount_paid')) AS a(name),
     ),
     "freq_bank_pair": select([frequency("from_bank, to_bank", "bank_pair_freq_enc")]),
     "freq_account_pair": select([frequency("account, account_1", "account_pair_freq_enc")]),
+    "lookup_in_place": select([frequency("account, account_1", "account_pair_freq_enc")]),
     "freq_format_hour": select([frequency("payment_format, hour", "payment_format_hour_freq_enc")]),
     "freq_sender_format": select(
         [frequency("account, payment_format", "sender_payment_format_freq_enc")]

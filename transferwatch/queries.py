@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transferwatch.functions import calendar_parts, epoch_seconds, objective, parse_timestamp
+from transferwatch.functions import calendar_parts, epoch_seconds, exact_key, objective, parse_timestamp
 from transferwatch.operators import amounts, calendar, cleaning, encoders, history, monitoring, sketches
 from transferwatch.operators.intervals import interval_matches
 from transferwatch.operators.ordering import time_ordered
@@ -21,8 +21,9 @@ from transferwatch.operators.records import align, coerce_numeric, require_manif
 from transferwatch.plans import learning, pipeline
 from transferwatch.plans.features import RiskFeatures, RiskFeaturesModel
 from transferwatch.schema import AMOUNTS, ID, LABEL, RECEIVER, SENDER
-from transferwatch.session import ensure_checkpoint_dir, materialise, prepare
+from transferwatch.session import ensure_checkpoint_dir, materialise, prepare, scratch_path
 from transferwatch.sources import artefacts, fixtures
+from transferwatch.sources.bucketed import join_bucketed, write_bucketed
 from transferwatch.streaming import jobs
 from transferwatch.streaming.history import mean_ratios, stream_history
 from transferwatch.streaming.recent import stream_recent_average
@@ -235,6 +236,15 @@ def freq_account_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(encoders.account_pair_frequency(_tx(spark, sf_dir)), "account_pair_freq_enc")
 
 
+def lookup_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of account pairs from a lookup in buckets, which the join does not move."""
+    rows, name = _tx(spark, sf_dir), "account_pair_freq_enc"
+    keyed = rows.withColumn("_key", exact_key(*encoders.INTERACTIONS[name]))
+    path = scratch_path(spark, "pairs")
+    write_bucketed(materialise(encoders.frequency_table(keyed, ["_key"], name)), path, "_key")
+    return shown(join_bucketed(keyed, path, "_key"), name)
+
+
 def freq_sender_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encoders.sender_format_frequency(_tx(spark, sf_dir))
     return shown(rows, "sender_payment_format_freq_enc")
@@ -673,6 +683,7 @@ QUERIES: dict[str, Query] = {
     "high_risk_periods": high_risk_periods,
     "freq_bank_pair": _interaction("bank_pair_freq_enc"),
     "freq_account_pair": freq_account_pair,
+    "lookup_in_place": lookup_in_place,
     "freq_format_hour": _interaction("payment_format_hour_freq_enc"),
     "freq_sender_format": freq_sender_format,
     "freq_day_hour": _interaction("day_hour_freq_enc"),
