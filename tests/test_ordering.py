@@ -54,3 +54,19 @@ def test_quantile_sketches_merge_within_their_error(spark):
     assert found["amount_received", 0.25].bound == 5.0
     paid = found["amount_paid", 0.75].bound
     assert paid == pytest.approx(75_000, abs=100_000 * sketches.RANK_ERROR + 1)
+
+
+def test_only_what_is_asked_for_is_moved(spark, monkeypatch):
+    """Order lines meet customers by way of the orders, and the order of time is made from ids and times alone."""
+    from transferwatch import queries
+    from transferwatch.sources import fixtures
+
+    folder = "/root/testdata/sf0.001"
+    plan = fixtures.transactions_view(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "l_orderkey" in joins[1] and "o_custkey" in joins[2]
+
+    seen = []
+    monkeypatch.setattr(queries, "time_ordered", lambda df: seen.append(df.columns) or df.withColumn("place", df.ts))
+    queries.time_order(spark, folder)
+    assert seen == [["txn_id", "ts"]]
